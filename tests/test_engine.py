@@ -1,0 +1,155 @@
+"""The engine end to end on literal corpora."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sedgeway.config import Scope, WarehouseConfig
+from sedgeway.operators import answer, evaluate
+from sedgeway.operators.store import SchemaMismatch, Store
+from sedgeway.plans import engine as E
+
+SOURCES = "source string, content binary, media_type string, ingest_seq long"
+
+
+def sources(spark, **texts):
+    rows = [(k.replace("_", "."), bytearray(v if isinstance(v, bytes) else v.encode()), None, n) for n, (k, v) in enumerate(texts.items())]
+    return spark.createDataFrame(rows, SOURCES)
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    e = E.Engine(spark, WarehouseConfig(str(tmp_path / "wh"), 64))
+    e.migrate()
+    return e
+
+
+def ask(engine, scope, *texts, **kw):
+    return engine.ask(scope, engine.spark.createDataFrame(list(enumerate(texts)), "query_id long, question string"), **kw).orderBy("query_id").collect()
+
+
+def test_ingest_and_ask(engine, spark):
+    a, b = Scope("a"), Scope("b")
+    got = {r["source"]: r for r in engine.ingest(a, sources(spark, france_txt="Paris is the capital of France.", again_txt="Paris is the capital of France.", bio_txt="The mitochondrion produces ATP.", bad_bin=b"\xff\xfe\x81\x00")).collect()}
+    assert got["france.txt"]["chunk_count"] == 1 and got["again.txt"]["deduplicated"] and got["again.txt"]["chunk_count"] == 0 and got["bad.bin"]["error"]
+    assert engine.store.read("documents", a).count() == 2
+    assert engine.ingest(a, sources(spark, copy_txt="Paris is the capital of France.")).first()["deduplicated"]
+    one, two, three = ask(engine, a, "What is the capital of France?", "boiling point of mercury?", "Hi!")
+    assert one["outcome"] == "answered" and one["grounded"] and one["text"] == "Paris is the capital of France. [1]"
+    assert two["outcome"] == "not_found" and two["text"] == answer.NOT_FOUND and not two["grounded"]
+    assert three["outcome"] == "conversational" and three["sources"] is None
+    assert ask(engine, b, "What is the capital of France?")[0]["outcome"] == "not_found"
+    doc = got["bio.txt"]["document_id"]
+    assert ask(engine, a.with_filters(document_ids=[doc]), "capital of France?")[0]["outcome"] == "not_found"
+    assert ask(engine, a.with_filters(document_ids=[]), "ATP?")[0]["outcome"] == "not_found"
+    engine.delete_document(a, doc)
+    engine.delete_document(a, "unknown")
+    engine.delete_document(Scope("nowhere"), "x")
+    assert engine.store.read("documents", a).count() == 1 and ask(engine, a, "ATP?")[0]["outcome"] == "not_found"
+    engine.purge(a)
+    engine.purge(a)
+    assert engine.store.read("chunks", a).count() == 0 and engine.store.read("chunks", None).count() == 0 and engine.store.ping()
+
+
+def test_follow_up(engine, spark):
+    s = Scope("m")
+    engine.ingest(s, sources(spark, acme_txt="The Acme plan pricing is nine dollars.", bike_txt="Bicycle pricing is on request, pricing varies."))
+    turn = [("What is the Acme plan?", "Acme plan is a subscription.")]
+    q = spark.createDataFrame([(1, "What about its pricing?", turn)], "query_id long, question string, history array<struct<question:string,answer:string>>")
+    assert "nine dollars" in engine.ask(s, q, rewrite=True).first()["text"]
+    assert "nine dollars" not in engine.ask(s, q).first()["text"]
+
+
+def test_model_seam(engine, spark):
+    s = Scope("g")
+    engine.ingest(s, sources(spark, a_txt="Berlin hosts the archive."))
+    lie = ask(engine, s, "Which archive?", generate=lambda p: p.map(lambda _: "Berlin is huge [1][9][1]"))[0]
+    assert lie["outcome"] == "answered"
+    cites = answer.citations(engine.ask(s, spark.createDataFrame([(1, "Which archive?")], "query_id long, question string"), generate=lambda p: p.map(lambda _: "Berlin is huge [1][9][1]"))).collect()
+    assert [(c["seq"], c["marker"]) for c in cites] == [(0, 1)]
+    assert ask(engine, s, "Which archive?", generate=lambda p: p.map(lambda _: answer.NOT_FOUND + " "))[0]["outcome"] == "not_found"
+
+
+def test_events_and_trace(engine, spark):
+    s = Scope("e")
+    engine.ingest(s, sources(spark, a_txt="Alpha beta."))
+    q = spark.createDataFrame([(1, "alpha?"), (2, "thanks")], "query_id long, question string")
+    answers = engine.ask(s, q)
+    ev = answer.events(answers).orderBy("query_id", "seq").collect()
+    assert [(e["query_id"], e["kind"]) for e in ev if e["query_id"] == 1] == [(1, k) for k in ("token", "token", "token", "citation", "usage", "complete")]
+    assert [e["seq"] for e in ev if e["query_id"] == 2] == list(range(len([e for e in ev if e["query_id"] == 2]))) and ev[-1]["payload"] == "conversational"
+    spans = E.trace(q, engine.context(q, engine.store.read("chunks", s)), answers, "t").orderBy("query_id", "seq").collect()
+    assert [x["name"] for x in spans] == ["rewrite", "retrieve", "rerank", "prompt", "generate", "converse"] and {x["tenant"] for x in spans} == {"t"}
+
+
+def test_vision(engine, spark):
+    s = Scope("v")
+    got = engine.ingest(s, sources(spark, memo_png="Scanned words about turbines", note_txt="typed words about pumps")).collect()
+    assert {(r["source"], r["text_pages"], r["vision_pages"]) for r in got} == {("memo.png", 0, 1), ("note.txt", 1, 0)}
+    assert "turbines" in ask(engine, s, "turbines?")[0]["text"]
+
+
+def test_store_rules(engine, spark, tmp_path):
+    s = Scope("w")
+    engine.ingest(s, sources(spark, a_txt="one two three"))
+    store, chunks, docs = engine.store, engine.store.read("chunks", s), engine.store.read("documents", s)
+    with pytest.raises(ValueError):
+        store.upsert(Scope("other"), docs, chunks)
+    with pytest.raises(ValueError):
+        store.upsert(s, docs, chunks.withColumn("embedding_model", F.lit("")))
+    with pytest.raises(SchemaMismatch):
+        Store(spark, WarehouseConfig(engine.config.path, 32)).migrate()
+    store.upsert(s, docs, chunks.where("false"))  # a document that has no chunks any more
+    assert store.read("chunks", s).count() == 0 and store.read("documents", s).count() == 1
+
+
+def test_golden(spark, tmp_path):
+    scored = E.golden_run(E.Engine(spark, WarehouseConfig(str(tmp_path), 256)))
+    report = evaluate.report(scored)
+    assert report.first().asDict() == {"examples": 5, **dict.fromkeys(evaluate.METRICS, 1.0), "grounded_rate": 0.8}
+    assert evaluate.below_floor(report).count() == 0
+    assert evaluate.report(scored.where("false")).first().asDict() == {"examples": 0, **dict.fromkeys(evaluate.METRICS, 0.0)}
+
+
+def test_metrics(spark):
+    rows = [
+        (1, "q", None, "Berlin is big", "Berlin is huge in Spain", "answered", "Berlin is big", ["a"], ["a", "b"]),
+        (2, "q", "Rome", None, "rome it is", "answered", "", ["a"], []),
+        (3, "alpha beta", None, "", "alpha", "not_found", None, [], []),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, question string, expected string, truth string, text string, outcome string, quotes string, relevant array<string>, cited array<string>")
+    a, b, c = evaluate.score(df).orderBy("query_id").collect()
+    assert a["faithfulness"] == pytest.approx(1 / 3) and a["context_precision"] == 0.5 and a["context_recall"] == 1.0 and a["answer_relevancy"] == 0.5
+    assert b["faithfulness"] == 0.0 and b["answer_accuracy"] == 1.0 and b["context_recall"] == 0.0
+    assert c["faithfulness"] == 1.0 and c["answer_relevancy"] == 0.5 and c["context_precision"] == 1.0
+
+
+def test_ranking_quality(spark):
+    ranked = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "x", 0), (2, "b", 1)], "query_id long, chunk_id string, rank int")
+    wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, chunk_id string")
+    got = evaluate.ranking_quality(ranked, wanted).first()
+    assert got["hit_at_1"] == pytest.approx(1 / 3) and got["mrr"] == pytest.approx(0.5)
+
+
+def test_cli(capsys):
+    from sedgeway.__main__ import main
+
+    assert main(["info"]) == 0 and "sedgeway" in capsys.readouterr().out
+
+
+def test_stream(engine, spark, tmp_path):
+    from sedgeway.streaming.ingest import event_stream, ingest_stream, windowed_counts
+
+    folder, s = tmp_path / "in", Scope("s")
+    folder.mkdir()
+    (folder / "a.txt").write_text("gamma rays")
+    for _ in range(2):
+        ingest_stream(engine, s, str(folder), str(tmp_path / "cp")).awaitTermination()
+    (folder / "b.txt").write_text("delta waves")
+    ingest_stream(engine, s, str(folder), str(tmp_path / "cp")).awaitTermination()
+    assert engine.store.read("documents", s).count() == 2
+
+    events = tmp_path / "ev"
+    spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 1.0D value union all select timestamp'2024-01-01 05:00:00', 'a', 2.0D").coalesce(1).write.parquet(str(events))
+    q = windowed_counts(event_stream(spark, str(events), "ts timestamp, event_type string, value double")).writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["n"] for r in spark.sql("select * from counts").collect()] == [1]

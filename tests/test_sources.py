@@ -1,0 +1,110 @@
+"""Routing and parsers; documents are built in the test."""
+
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from sedgeway.sources import files, parsers
+
+HTML = b"""<html><head><title>t</title><style>x{}</style></head><body><nav>Home</nav><header>Top</header>
+<main><h1>Guide</h1><p>First  <b>bold</b> text.</p><h2>Steps</h2><ul><li>one</li><li>two</li></ul><ol><li>a<li>b</ol><!-- hidden -->
+<table><thead><tr><th>K|1</th><th>V</th></tr></thead><tbody><tr><td>x</td></tr></tbody></table><h3>End</h3><pre>code
+ here</pre><blockquote>said</blockquote></main><footer>foot</footer><script>bad()</script></body></html>"""
+
+
+def docx(body: str) -> bytes:
+    out = io.BytesIO()
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {ns}><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>')
+    return out.getvalue()
+
+
+def para(text: str, style: str = "", level: int | None = None) -> str:
+    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{level}"/></w:numPr>' if level is not None else "")
+    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def pptx() -> bytes:
+    a, p = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"', 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    sp = lambda kind, ps: f'<p:sp><p:nvSpPr><p:nvPr>{f"<p:ph type={chr(34)}{kind}{chr(34)}/>" if kind else ""}</p:nvPr></p:nvSpPr><p:txBody>{ps}</p:txBody></p:sp>'
+    par = lambda t, lvl=0: f'<a:p><a:pPr lvl="{lvl}"/><a:r><a:t>{t}</a:t></a:r></a:p>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/slides/slide2.xml", f"<p:sld {a} {p}>{sp('', par('only'))}</p:sld>")
+        z.writestr("ppt/slides/slide1.xml", f"<p:sld {a} {p}>{sp('title', par('Plan'))}{sp('', par('top') + par('sub', 1))}</p:sld>")
+        z.writestr("ppt/notesSlides/notesSlide1.xml", f"<p:notes {a} {p}>{sp('body', par('remember'))}</p:notes>")
+    return out.getvalue()
+
+
+def test_html_markdown():
+    text = parsers.html_markdown(HTML)
+    assert text.split("\n\n") == [
+        "# Guide", "First bold text.", "## Steps", "- one\n- two", "1. a\n2. b",
+        "| K\\|1 | V |\n| --- | --- |\n| x |  |", "### End", "```\ncode\n here\n```", "> said",
+    ]
+
+
+def test_html_roots():
+    assert parsers.html_markdown(b"<body><div><p>little</p></div><div><p>much more text here</p></div></body>") == "much more text here"
+    assert parsers.html_markdown(b"<body><p>bare</p></body>") == "bare"
+    assert parsers.html_markdown('<meta charset="latin-1"><main>caf\xe9</main>'.encode("latin-1")) == "café"
+
+
+def test_docx():
+    table = "<w:tbl><w:tr><w:tc>" + para("a") + "</w:tc><w:tc>" + para("b|c") + "</w:tc></w:tr><w:tr><w:tc>" + para("1") + "</w:tc></w:tr></w:tbl>"
+    body = para("Top", "Title") + para("Part", "H2") + para("Deep", "Heading9") + para("x", level=0) + para("y", level=1) + para("text") + table
+    assert parsers.docx_markdown(docx(body)).split("\n\n") == ["# Top", "## Part", "###### Deep", "- x\n  - y", "text", "| a | b\\|c |\n| --- | --- |\n| 1 |  |"]
+
+
+def test_pptx():
+    assert parsers.pptx_markdown(pptx()) == ["## Plan\n\n- top\n  - sub\n\n### Notes\n\nremember", "##\n\n- only"]
+
+
+@pytest.mark.parametrize(
+    ("name", "media", "content", "want"),
+    [
+        ("a.pdf", "text/plain; charset=utf-8", b"%PDF-1.7", "text"), ("A.HTM", None, b"x", "html"), ("notes.md", "bogus/type", b"x", "text"),
+        ("blob", None, b"%PDF-1.7 ...", "pdf"), ("blob", None, b"  <!DOCTYPE HTML><p>", "html"), ("blob", None, docx(""), "docx"), ("blob", None, pptx(), "pptx"),
+        ("blob", None, b"plain words", "text"), ("blob", None, b"", "text"), ("blob", None, b"\xff\xfe\x00\x81", "unknown"), ("memo.png", None, b"\x89PNG\r\n\x1a\n\xff", "unknown"),
+    ],
+)
+def test_route(spark, name, media, content, want):
+    df = spark.createDataFrame([(name, media, bytearray(content))], "n string, m string, c binary")
+    assert df.select(files.route(F.col("n"), F.col("m"), F.col("c")).alias("f")).first()["f"] == want
+
+
+def test_parse_quarantines(spark):
+    rows = [("t", "text", bytearray(b"a\r\nb")), ("u", "unknown", bytearray(b"?")), ("p", "pdf", bytearray(b"%PDF")), ("d", "docx", bytearray(b"no zip"))]
+    got = {r["document_id"]: r for r in parsers.parse(spark.createDataFrame(rows, "document_id string, format string, content binary")).collect()}
+    assert got["t"]["text"] == "a\nb" and got["t"]["error"] is None
+    assert all(got[k]["text"] is None and got[k]["error"] for k in "upd")
+
+
+def test_custom_parser(spark):
+    """A CSV of questions and answers, one page a row."""
+    rows = spark.createDataFrame([("faq", "csv", bytearray(b"q,a\nWhy?,Because.\nHow?,So."))], "document_id string, format string, content binary")
+    split = lambda c: [f"Q: {r.split(',')[0]}\nA: {r.split(',')[1]}" for r in c.decode().splitlines()[1:]]
+    got = parsers.parse(rows, {"csv": split}).orderBy("page").collect()
+    assert [(r["page"], r["text"]) for r in got] == [(1, "Q: Why?\nA: Because."), (2, "Q: How?\nA: So.")]
+
+
+def test_form_feed(spark):
+    got = parsers.form_feed_pages(spark.createDataFrame([("d", "Paris\fLyon")], "document_id string, text string")).orderBy("page").collect()
+    assert [(r["page"], r["text"]) for r in got] == [(1, "Paris"), (2, "Lyon")]
+
+
+def test_scan_folder(spark, tmp_path):
+    for name in ("b.txt", "a.md", ".hidden"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.txt").write_text("deep")
+    got = files.identify(files.scan_folder(spark, str(tmp_path))).collect()
+    assert [r["source"] for r in got] == ["a.md", "b.txt"]
+    import hashlib
+
+    assert got[0]["content_hash"] == hashlib.sha256(b"a.md").hexdigest() and got[0]["document_id"] == got[0]["content_hash"][:16]
