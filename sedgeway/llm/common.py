@@ -111,14 +111,20 @@ def join_groups(left: DataFrame, groups: DataFrame, keys: list[str], count: str,
     are broadcast whole.  Otherwise those with a thousandth of all rows or more - a thousand at
     most - are broadcast, and only rows of the others are shuffled.
     """
+    values = [c for c in groups.columns if c not in keys and c != count]
+    named = groups.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values, F.col(count).alias("_count"))
+
+    def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        return rows.join(side, cond, "left").drop(*[f"_key_{k}" for k in keys])
+
     if n_groups <= BROADCAST_ROWS:
-        slim = groups.drop(count)
-        return left.join(F.broadcast(slim), null_safe(left, slim, *keys), "left").drop(*[slim[k] for k in keys])
+        return joined(left, F.broadcast(named.drop("_count")))
     cut = max(1, total // 1000)
-    heavy = groups.where(F.col(count) >= cut).drop(count).withColumn("_heavy", F.lit(True))
-    light = groups.where(F.col(count) < cut).drop(count)
-    marked = left.join(F.broadcast(heavy), null_safe(left, heavy, *keys), "left").drop(*[heavy[k] for k in keys])
-    values = [c for c in groups.columns if c not in keys and c != count]
-    rest = marked.where("_heavy is null").drop("_heavy", *values)
-    rest = rest.join(light, null_safe(rest, light, *keys), "left").drop(*[light[k] for k in keys])
+    heavy = named.where(F.col("_count") >= cut).drop("_count").withColumn("_heavy", F.lit(True))
+    light = named.where(F.col("_count") < cut).drop("_count")
+    marked = joined(left, F.broadcast(heavy))
+    rest = joined(marked.where("_heavy is null").drop("_heavy", *values), light)
     return marked.where("_heavy").drop("_heavy").unionByName(rest)

@@ -214,7 +214,7 @@ def main_text(page: str | None) -> str:
             break
     kept = {best}
     if p.tag[best] not in _TOP:
-        least = max(10, 0.2 * value.get(best, 0))
+        least = max(3, 0.25 * value.get(best, 0))
         for k in range(1, n):
             if k != best and p.parent[k] == p.parent[best] and not gone[k] and chars[k] and p.tag[best] not in ("article", "main"):
                 density = links[k] / chars[k]
