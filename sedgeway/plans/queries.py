@@ -50,7 +50,8 @@ def _unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.word_windows(_unique(spark, d).withColumn("page", F.lit(1)), SIZE, OVERLAP)
+    """Kept, as a plan reads it once per channel (an engine reads its stored table instead)."""
+    return chunking.word_windows(_unique(spark, d).withColumn("page", F.lit(1)), SIZE, OVERLAP).persist()
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -391,7 +392,8 @@ def min_score_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.edges(retrieval.gate(_ranked(spark, d), 0.2, 3))
+    """Three rows a question at most; kept, as answers, citations and events each read it."""
+    return retrieval.edges(retrieval.gate(_ranked(spark, d), 0.2, 3)).persist()
 
 
 @query(f"WITH {_GATED} SELECT query_id, marker, chunk_id FROM placed")
