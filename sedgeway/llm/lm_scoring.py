@@ -96,13 +96,16 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICT_BYTES) ->
     ratio = (F.col("inside") / max(1, total["inside"] or 0)) / (F.col("n") / max(1, total["n"] or 0))
     top = size // (REFERENCE + 2) + 1  # no more of the shortest words fit in
     fits = F.octet_length("word") < size
-    general = counts.where(fits).select("word", (F.col("n") * saved).alias("gain")).orderBy(F.desc("gain"), "word").limit(top).collect()
+    general = counts.where(fits).select("word", (F.col("n") * saved).alias("gain")).orderBy(F.desc("gain"), "word").limit(top)
     domain = (
         counts.where(fits & (F.col("inside") > 0)).select("word", F.round(F.col("inside") * saved * F.least(ratio, F.lit(2.0)), 6).alias("gain"))
-        .orderBy(F.desc("gain"), "word").limit(top).collect()
+        .orderBy(F.desc("gain"), "word").limit(top)
     )
-    common.discard(counts)
-    return _packed(domain, size), _packed(general, size)
+    # written first: collecting a limit would send every partition's best to the driver
+    best = [common.written(words, "lm-best") for words in (domain, general)]
+    out = [_packed(words.orderBy(F.desc("gain"), "word").collect(), size) for words in best]
+    common.discard(counts, *best)
+    return out[0], out[1]
 
 
 def score(docs: DataFrame, domain: bytes, general: bytes, level: int = LEVEL) -> DataFrame:
