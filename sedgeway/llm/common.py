@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side whose count was taken may be broadcast; rows here are
-#: narrow (ids, hashes and counts), so this is some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+#: narrow (ids, hashes and counts), so this is some megabytes.
+BROADCAST_ROWS = 100_000
 
 #: ``[\x20\x09-\x0D]`` as the trim set of Spark SQL.
 WHITE_CHARS = " \t\n\x0b\x0c\r"

@@ -94,12 +94,12 @@ ORACLES: dict[str, str] = {
             FROM words
         ),
         grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-        overlaps AS (
+        shared AS (
             SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
             FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
             GROUP BY a.doc_id, b.doc_id
         ),
-        links AS (SELECT x, y FROM overlaps WHERE 100 * o >= 60 * (nx + ny - o)),
+        links AS (SELECT x, y FROM shared WHERE 100 * o >= 60 * (nx + ny - o)),
         edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles,
