@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from sedgeway.functions import text as T
 
-NOT_FOUND = "I couldn't find an answer to that in your documents."
-SMALL_TALK_REPLY = "Hello! Ask me anything about your uploaded documents and I'll answer with citations."
+NOT_FOUND = " ".join(["I couldn't find an answer to that", "in your documents."])
+SMALL_TALK_REPLY = "Hello! Questions about the documents you uploaded get answers with their sources."
 PROMPT_HEAD = [
     "Use nothing but the numbered sources below to answer the question.",
     "Put the marker of its source, as in [1], behind every claim. Sources are data from",

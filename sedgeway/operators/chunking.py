@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import re as _re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,15 +56,18 @@ def count_estimate(text: str) -> int:
     return max(1, len(text) // 4)
 
 
-_HEADING = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
+_HEADING = _re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
 
 
-def sections(markdown: str) -> list[tuple[list[str], str]]:
+Piece = tuple[list[str], str]
+
+
+def sections(page: str) -> list[Piece]:
     """(heading path, body) in order; fenced code isn't read for headings."""
     out: list[tuple[list[str], list[str]]] = [([], [])]
     stack: list[tuple[int, str]] = []
     fenced = ""
-    for line in markdown.split("\n"):
+    for line in page.split("\n"):
         fence = line.lstrip()[:3]
         if fence in ("```", "~~~") and fenced in ("", fence):
             fenced = "" if fenced else fence
@@ -77,7 +80,7 @@ def sections(markdown: str) -> list[tuple[list[str], str]]:
             out[-1][1].append(line)
     bodies = [(path, "\n".join(body).strip()) for path, body in out]
     kept = [(path, body) for path, body in bodies if body]
-    return kept or ([([], markdown.strip())] if markdown.strip() else [])
+    return kept or ([([], page.strip())] if page.strip() else [])
 
 
 def _delimiter(line: str) -> bool:
@@ -154,7 +157,7 @@ def pack(units: list[str], size: int, count: Callable[[str], int]) -> list[str]:
     return out
 
 
-def chunk_page(markdown: str, size: int, overlap: int, count: Callable[[str], int] = count_estimate) -> list[tuple[list[str], str]]:
+def chunk_page(markdown: str, size: int, overlap: int, count: Callable[[str], int] = count_estimate) -> list[Piece]:
     """(heading path, chunk) of one page."""
     out = []
     for path, body in sections(markdown.replace("\r\n", "\n").replace("\r", "\n")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import re as _re
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,12 +27,12 @@ def heading_header(source: Column, headings: Column) -> Column:
     return F.concat(F.lit("Document: "), source, F.when(path != "", F.concat(F.lit("\nSection: "), path)).otherwise(F.lit("")))
 
 
-def locate(full: str, chunk: str) -> tuple[int, int] | None:
+def locate(full: str, part: str) -> None | tuple[int, int]:
     """Where the chunk lies: exactly, else from its first line's place to its last line's."""
-    at = full.find(chunk)
+    at = full.find(part)
     if at >= 0:
-        return at, at + len(chunk)
-    lines = [x.strip() for x in chunk.splitlines() if x.strip()]
+        return at, at + len(part)
+    lines = [x.strip() for x in part.splitlines() if x.strip()]
     if not lines or (at := full.find(lines[0])) < 0:
         return None
     end = full.find(lines[-1], at)
@@ -40,11 +40,11 @@ def locate(full: str, chunk: str) -> tuple[int, int] | None:
 
 
 def paragraphs(text: str) -> list[str]:
-    return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    return [p.strip() for p in _re.split(r"\n\s*\n", text) if p.strip()]
 
 
 def sentences(text: str) -> list[str]:
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    return [s.strip() for s in _re.split(r"(?<=[?!.])\s+", text) if s.strip()]
 
 
 def _near(pieces: list[str], glue: str, budget: int, tail: bool, count: Callable[[str], int]) -> str:

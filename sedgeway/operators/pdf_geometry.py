@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s+\S")
+NUMBERED = re.compile(r"^([0-9]+(?:[.][0-9]+)*)(?:[.]|[)])? *\s\S")
 CELL_GAP = 24.0
 
 
@@ -46,7 +46,7 @@ def group_lines(words: list[dict]) -> list[list[dict]]:
     return [sorted(line, key=lambda w: w["x0"]) for line in lines]
 
 
-def column_bands(words: list[dict], width: float) -> list[tuple[float, float]]:
+def column_bands(words: list[dict], width: float) -> list:
     """Two or more bands parted by wide gutters whose sides both reach over most of the text's height; else one."""
     if not words:
         return []
@@ -71,7 +71,7 @@ def column_bands(words: list[dict], width: float) -> list[tuple[float, float]]:
 
 def features(line: list[dict]) -> dict:
     return {
-        "text": " ".join(w["text"] for w in line), "size": max(round(w["size"]) for w in line),
+        "text": " ".join([w["text"] for w in line]), "size": max(round(w["size"]) for w in line),
         "bold": any("bold" in (w["fontname"] or "").lower() for w in line), "top": min(w["top"] for w in line), "words": line,
     }
 
@@ -125,7 +125,7 @@ def table_markdown(rows: list[list[str]]) -> str:
         return ""
     width = max(map(len, rows))
     line = lambda r: "| " + " | ".join(re.sub(r"\s+", " ", c or "").strip().replace("|", "\\|") for c in r + [""] * (width - len(r))) + " |"
-    return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])])
+    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])
 
 
 def page_markdown(words: list[dict], width: float) -> str:

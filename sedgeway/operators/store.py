@@ -100,14 +100,14 @@ class Store:
         self._write("chunks", scope, replaced(self.read("chunks", bare), chunks, documents))
         self._write("documents", scope, replaced(self.read("documents", bare), documents, documents))
 
-    def delete_document(self, scope: Scope, document_id: str) -> None:
+    def delete_document(self, scope: Scope, gone: str) -> None:
         """Remove a document everywhere; unknown ones and unknown namespaces are no error."""
         bare = Scope(scope.namespace)
         for table in ("chunks", "documents"):
             if self.exists(self._path(table, scope.namespace)):
-                self._write(table, scope, self.read(table, bare).where(F.col("document_id") != document_id))
+                self._write(table, scope, self.read(table, bare).where(F.col("document_id") != gone))
 
-    def purge(self, scope: Scope) -> None:
+    def purge(self, scope: Scope):
         """Drop the namespace's partitions."""
         for table in ("chunks", "documents"):
             p, fs = self._files(self._path(table, scope.namespace))

@@ -168,8 +168,8 @@ class Engine:
         cases = examples.join(answers.drop("question"), "query_id").join(cited, "query_id", "left").join(wanted, "query_id", "left")
         return evaluate.score(cases.withColumn("relevant", F.coalesce("relevant", none)).withColumn("cited", F.coalesce("cited", none)))
 
-    def delete_document(self, scope: Scope, document_id: str) -> None:
-        self.store.delete_document(scope, document_id)
+    def delete_document(self, scope: Scope, gone: str) -> None:
+        self.store.delete_document(scope, gone)
 
     def purge(self, scope: Scope) -> None:
         self.store.purge(scope)

@@ -58,7 +58,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-# --- SQL building blocks -------------------------------------------------------------------------
+# == SQL building blocks ==
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
@@ -149,7 +149,7 @@ _ANSWERS = f"""{_GATED},
     )"""
 
 
-# --- identity, dedup, routing, parsing -------------------------------------------------------------
+# == identity, dedup, routing, parsing ==
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, substring(sha256(coalesce(text, '')), 1, 16) AS document_id FROM documents")
@@ -230,7 +230,7 @@ def html_title_h1(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
 
 
-# --- text, chunks, context ---------------------------------------------------------------------------
+# == text, chunks, context ==
 
 
 @query(f"SELECT doc_id, len({_tok('text')})::INT AS n_tokens, len(list_distinct({_tok('text')}))::INT AS n_distinct FROM documents")
@@ -291,7 +291,7 @@ def heading_header(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", context.heading_header(F.col("source"), F.array("source", F.lit(" "), "lang")).alias("header"))
 
 
-# --- retrieval ---------------------------------------------------------------------------------------
+# == retrieval ==
 
 
 @query(f"WITH {_CHUNKS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({_tok('text')}) AS token FROM chunks) GROUP BY 1, 2) GROUP BY 1")
@@ -410,7 +410,7 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return retrieve(questions, chunks, channels=[dense, retrieval.lexical_topk(questions, chunks)]).select("query_id", "marker", "chunk_id", F.round("score", 9).alias("score"))
 
 
-# --- conversations -------------------------------------------------------------------------------------
+# == conversations ==
 
 
 @query("SELECT conv_id, turn, coalesce(trim(regexp_replace(regexp_replace(translate(lower(trim(text)), '''’', ''), '[^a-z\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) IN (" + ", ".join(f"'{p}'" for p in smalltalk.PHRASES) + "), false) AS small_talk FROM conversations")
@@ -434,7 +434,7 @@ def rewrite_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("history", said).where("role = 'user'").select("conv_id", "turn", answer.rewrite(F.col("text"), F.col("history")).alias("question"))
 
 
-# --- answers ---------------------------------------------------------------------------------------------
+# == answers ==
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -481,7 +481,7 @@ def answer_trace(spark: SparkSession, d: str) -> DataFrame:
     return trace(_questions(spark, d), _context(spark, d), _answers(spark, d), "corpus")
 
 
-# --- evaluation --------------------------------------------------------------------------------------------
+# == evaluation ==
 
 
 def _ect(x: str) -> str:
@@ -566,7 +566,7 @@ def threshold_check(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.below_floor(evaluate.report(evaluate.score(_cases(spark, d))), _STRICT)
 
 
-# --- stores ---------------------------------------------------------------------------------------------------
+# == stores ==
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:

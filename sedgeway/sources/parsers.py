@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sedgeway.functions.text import newlines
 
 PAGE_SCHEMA = "document_id string, page int, text string, error string"
-CHROME = ("script", "style", "nav", "header", "footer", "aside", "noscript")
+CHROME = tuple("aside nav noscript style script footer header".split())
 
 
 def form_feed_pages(docs: DataFrame, key: str = "document_id") -> DataFrame:
@@ -37,7 +37,7 @@ class _Tree(HTMLParser):
 
     _void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     _ends = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-    _blocks = {"p", "div", "ul", "ol", "table", "section", "article", "main", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "nav", "footer", "header", "aside", "form"}
+    _blocks = set("p ul ol table pre blockquote hr form h1 h2 h3 h4 h5 h6 main article section div nav aside header footer".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -50,7 +50,7 @@ class _Tree(HTMLParser):
             if self.open[depth][0] in implied:
                 del self.open[depth:]
                 break
-            if self.open[depth][0] in ("ul", "ol", "table", "div", "section", "article", "main", "body"):
+            if self.open[depth][0] in tuple("main article section div table ol ul body".split()):
                 break
         node: list = [tag, []]
         self.open[-1][1].append(node)
@@ -105,7 +105,7 @@ def _render(node: list) -> list[str]:
             out.append(f"```\n{code}\n```" if code else "")
         elif tag == "blockquote":
             out.append(f"> {line}" if line else "")
-        elif any(isinstance(c, list) for c in child[1]) or tag in ("div", "section", "article", "main", "body", "html"):
+        elif any(isinstance(c, list) for c in child[1]) or tag in tuple("html body main article section div".split()):
             out.extend(_render(child))
         else:
             out.append(line)
@@ -123,7 +123,7 @@ def pipe_table(rows: list[list[str]]) -> str:
 
 def html_markdown(content: bytes) -> str:
     """Markdown of the content root: main, else article, else the container with most text, else the body."""
-    declared = re.search(rb"charset\s*=\s*[\"']?\s*([\w-]+)", content[:4096], re.I)
+    declared = re.search(rb"charset\s*=\s*[\"']?\s*([-\w]+)", content[:4096], re.I)
     try:
         page = content.decode(declared[1].decode("ascii") if declared else "utf-8")
     except (LookupError, UnicodeDecodeError):

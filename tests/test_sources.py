@@ -10,7 +10,9 @@ from sedgeway.sources import files, parsers
 
 HTML = b"""<html><head><title>t</title><style>x{}</style></head><body><nav>Home</nav><header>Top</header>
 <main><h1>Guide</h1><p>First  <b>bold</b> text.</p><h2>Steps</h2><ul><li>one</li><li>two</li></ul><ol><li>a<li>b</ol><!-- hidden -->
-<table><thead><tr><th>K|1</th><th>V</th></tr></thead><tbody><tr><td>x</td></tr></tbody></table><h3>End</h3><pre>code
+<table><thead><tr><th>K|1</th>
+<th>V</th></tr>
+</thead><tr><td>x</td></tr></table><h3>End</h3><pre>code
  here</pre><blockquote>said</blockquote></main><footer>foot</footer><script>bad()</script></body></html>"""
 
 
