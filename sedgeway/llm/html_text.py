@@ -33,7 +33,7 @@ _INLINE = {
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "input", "nobr",
 }
 _DROP = {
-    "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "button", "select",
+    "aside", "form", "footer", "nav", "header", "template", "iframe", "noscript", "style", "script", "svg", "canvas", "button", "select",
     "option", "textarea", "input", "menu", "dialog", "object", "embed", "audio", "video", "head", "title", "math", "map", "noframes", "applet", "datalist", "fieldset",
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "status", "tablist"}

@@ -59,7 +59,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# --- text primitives -------------------------------------------------------------------------------
+# == text primitives ==
 
 
 def test_words_match_python(rows):
@@ -107,7 +107,7 @@ def test_join_groups_splits_heavy(spark, monkeypatch):
     assert got == {(x["v"], top[x["k"]]) for x in left.collect()}
 
 
-# --- 1 sharding ----------------------------------------------------------------------------------------
+# == 1 sharding ==
 
 
 def test_sharding(docs, rows, empty):
@@ -139,7 +139,7 @@ def test_sharding_balance(spark):
     assert got.where("size = 201").select("shard").distinct().count() == 1
 
 
-# --- 2 line dedup ---------------------------------------------------------------------------------------
+# == 2 line dedup ==
 
 
 def brute_lines(rows, min_docs=3, min_chars=20):
@@ -175,7 +175,7 @@ def test_line_runs(spark):
     assert [r["h1"] for r in runs.fresh(make((9, 1), (9, 12), (9, 99))).collect()] == [99]
 
 
-# --- 3 decontamination -----------------------------------------------------------------------------------
+# == 3 decontamination ==
 
 
 def brute_tiling(doc, item, seed):
@@ -246,7 +246,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()) == [(k, k) for k in range(9)]
 
 
-# --- 4 compression LM ----------------------------------------------------------------------------------------
+# == 4 compression LM ==
 
 
 def test_lm_scores(spark, empty):
@@ -272,7 +272,7 @@ def test_lm_counts_every_word(spark):
     assert got == {"alpha": (3, 1), "beta": (1, 0), "tiny": (1, 1)}
 
 
-# --- 5 language ID ------------------------------------------------------------------------------------------------
+# == 5 language ID ==
 
 
 def test_language_id(spark, empty):
@@ -302,7 +302,7 @@ def test_predictions_do_not_see_labels(spark):
     assert a == b
 
 
-# --- 6 Jaccard join --------------------------------------------------------------------------------------------------
+# == 6 Jaccard join ==
 
 
 def brute_jaccard(rows, percent=60):
@@ -377,7 +377,7 @@ def test_representatives(docs, rows):
     assert got == Counter([r[0] for r in alone]) + Counter({r[3] for r in brute_jaccard(rows) if r[2] and r[0] is not None})
 
 
-# --- 7 HTML extraction -----------------------------------------------------------------------------------------------------
+# == 7 HTML extraction ==
 
 
 P1, P2 = "A first paragraph, long enough to count, with commas.", "The second one, also long, says a little more about it."
@@ -419,7 +419,7 @@ def test_pages_of_the_test_tables(spark):
         assert r["text"] == "\n\n".join(t for t in (" ".join(html.unescape(b).split()) for b in re.split("</?(?:p|h1)>", body)) if t)
 
 
-# --- 8 PII --------------------------------------------------------------------------------------------------------------------
+# == 8 PII ==
 
 
 KEY = pii.Permuter(b"test")
@@ -476,7 +476,7 @@ def test_pseudonymise(spark, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
-# --- 9 mixing ---------------------------------------------------------------------------------------------------------------------
+# == 9 mixing ==
 
 
 def test_exponents():
@@ -517,7 +517,7 @@ def test_mixture(spark, empty):
     assert all(times[d] == n for (d, _, _), n in copies.items() if d != 5) and mixing.mixed(docs).columns == docs.columns
 
 
-# --- 10 quality --------------------------------------------------------------------------------------------------------------------------
+# == 10 quality ==
 
 
 def brute_base(text):
