@@ -360,13 +360,15 @@ def test_jaccard_near_copies(spark, percent):
     assert links(ngram_jaccard.jaccard_links(table, percent=percent)) == brute_jaccard(rows, percent)
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """Components cut into pairs of blocks give the same links, with and without the small-component path."""
+@pytest.mark.parametrize("hot", [2, 48])
+def test_jaccard_blocks(spark, monkeypatch, hot):
+    """Components cut into pairs of blocks give the same links, whether n-grams bring pairs or stars."""
     rows = near_copies(10)
     table = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", 4)
     monkeypatch.setattr(ngram_jaccard, "SMALL", 2)
     monkeypatch.setattr(ngram_jaccard, "FRAGMENT", 8)
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert links(ngram_jaccard.jaccard_links(table)) == brute_jaccard(rows)
 
