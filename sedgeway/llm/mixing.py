@@ -68,44 +68,52 @@ def find_exponent(tokens: dict, max_repeat: float | None = MAX_REPEAT, target_en
     return hi
 
 
-def _plan(docs: DataFrame, max_repeat: float | None, target_entropy: float | None, seed: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Per document its number of copies, and the table of sources."""
+def _planned(docs: DataFrame, max_repeat: float | None, target_entropy: float | None, seed: int, block_rows: int) -> DataFrame:
+    """``docs`` with ``_tokens, _passes, _block, _weight, _exponent`` and ``_copies`` of each row.
+
+    A row's block and its place in it follow from its id and text, so what is joined is one row a
+    source and one a block, both broadcast; no document is shuffled.
+    """
     spark = docs.sparkSession
-    text = F.col("text").cast("string")
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
     # tokens are estimated at four characters each, one at least, so that every document has weight
-    slim = common.written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.greatest(F.lit(1), F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4)).cast("long").alias("tokens"),
-            F.xxhash64(text).alias("mark"),
-        ).withColumn("rid", F.monotonically_increasing_id()),
-        "mix-rows",
+    rows = docs.withColumns(
+        {
+            "_tokens": F.greatest(F.lit(1), F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4)).cast("long"), "_source": source,
+            "_mark": F.xxhash64(F.lit(seed), text, F.col("doc_id").cast("long")), "_id": F.col("doc_id").cast("long"),
+        }
     )
-    sums = slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()  # one row a source
-    tokens = {r["source"]: r["tokens"] for r in sums}
+    # equal rows are one, with all their tokens
+    slim = common.written(rows.groupBy("_source", "_mark", "_id").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-rows")
+    sums = slim.groupBy("_source").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).collect()  # one row a source
+    tokens = {r["_source"]: r["tokens"] for r in sums}
     exponent = find_exponent(tokens, max_repeat, target_entropy)
     w = weights(tokens, exponent)
     rep = repeats(tokens, w)
-    table = [
-        (r["source"], r["tokens"], w[r["source"]], int(rep[r["source"]] + 1e-9), round(max(0.0, rep[r["source"]] - int(rep[r["source"]] + 1e-9)) * r["tokens"]), max(1, -(-r["rows"] // block_rows)))
-        for r in sums
-    ]
-    sources = spark.createDataFrame(table, "source string, source_tokens long, weight double, passes int, rest long, blocks int").withColumn("exponent", F.lit(exponent))
-    slim = slim.join(F.broadcast(sources), slim["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    slim = slim.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark", "rid"), F.col("blocks")).cast("int"))
+    whole = {s: int(r + 1e-9) for s, r in rep.items()}
+    table = [(r["_source"], w[s := r["_source"]], whole[s], round(max(0.0, rep[s] - whole[s]) * r["tokens"]), max(1, -(-r["rows"] // block_rows)), exponent) for r in sums]
+    sources = spark.createDataFrame(table, "_s string, _weight double, _passes int, _rest long, _blocks int, _exponent double")
+    placed = lambda df: df.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_block", F.pmod("_mark", "_blocks").cast("int"))
     # the partial pass: blocks in their permuted order up to the budget
-    turn = F.xxhash64(F.lit(seed), F.col("passes"), F.coalesce("source", F.lit("")), "block")
-    sizes = slim.groupBy("source", "block", "rest", "passes").agg(F.sum("tokens").alias("size")).withColumn("turn", turn)
-    order = Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = placed(slim)
+    turn = F.xxhash64(F.lit(seed), F.col("_passes"), F.coalesce("_source", F.lit("")), "_block")
+    sizes = keyed.groupBy("_source", "_block", "_rest", "_passes").agg(F.sum("tokens").alias("size")).withColumn("turn", turn)
+    order = Window.partitionBy("_source").orderBy("turn", "_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))  # rows / block_rows of them
-    sizes = sizes.select(F.col("source").alias("s"), F.col("block").alias("b"), "size", "before")
-    joined = slim.join(F.broadcast(sizes), slim["source"].eqNullSafe(sizes["s"]) & (F.col("block") == F.col("b")))
-    whole = joined.where("before + size <= rest").withColumn("extra", F.lit(1))
-    none = joined.where("before >= rest").withColumn("extra", F.lit(0))
-    crossing = joined.where("before < rest and before + size > rest")  # one block a source
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("mark", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    crossing = crossing.withColumn("upto", upto).withColumn("extra", (F.col("before") + F.col("upto") <= F.col("rest")).cast("int")).drop("upto")
-    return whole.unionByName(none).unionByName(crossing).drop("s", "b", "size", "before"), sources
+    blocks = sizes.select(F.col("_source").alias("_bs"), F.col("_block").alias("_b"), F.col("before").alias("_before"), F.col("size").alias("_size"))
+    on_block = F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b"))
+    # in the block that crosses the budget, the last row that fits
+    crossing = keyed.join(F.broadcast(blocks), on_block).where("_before < _rest and _before + _size > _rest")  # one block a source
+    upto = F.sum("tokens").over(Window.partitionBy("_source").orderBy("_mark", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = crossing.withColumn("upto", upto).where("_before + upto <= _rest")
+    cuts = fits.groupBy("_source").agg(F.max(F.struct("_mark", "_id")).alias("_cut")).select(F.col("_source").alias("_cs"), "_cut")
+    extra = (
+        F.when(F.col("_before") + F.col("_size") <= F.col("_rest"), 1)
+        .when(F.col("_before") >= F.col("_rest"), 0)
+        .otherwise(F.coalesce((F.struct("_mark", "_id") <= F.col("_cut")).cast("int"), F.lit(0)))
+    )
+    out = placed(rows).join(F.broadcast(blocks), on_block).join(F.broadcast(cuts), F.col("_source").eqNullSafe(F.col("_cs")), "left")
+    return out.withColumn("_copies", F.greatest(F.lit(1), F.col("_passes") + extra))
 
 
 def mixture(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -116,26 +124,15 @@ def mixture(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entro
     source are a source of their own, null and empty texts count as one token, null ids are kept.
     Repeated rows are documents of their own.  An empty table gives no rows.
     """
-    plan, _ = _plan(docs, max_repeat, target_entropy, seed, block_rows)
-    copies = plan.withColumn("pass", F.explode(F.expr("sequence(0, greatest(1, passes + extra) - 1)")))
+    plan = _planned(docs, max_repeat, target_entropy, seed, block_rows)
+    copies = plan.withColumn("_pass", F.explode(F.expr("sequence(0, _copies - 1)")))
     return copies.select(
-        "doc_id", "source", "tokens", "pass", "block",
-        F.xxhash64(F.lit(seed), F.col("pass"), F.coalesce("source", F.lit("")), "block").alias("turn"), "weight", "exponent",
+        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"),
+        F.xxhash64(F.lit(seed), F.col("_pass"), F.coalesce("_source", F.lit("")), "_block").alias("turn"), F.col("_weight").alias("weight"), F.col("_exponent").alias("exponent"),
     )
 
 
 def mixed(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents with all their columns, each as often as the mix has it."""
-    plan, _ = _plan(docs, max_repeat, target_entropy, seed, block_rows)
-    times = plan.groupBy("doc_id", "source", "mark").agg(F.sum(F.greatest(F.lit(1), F.col("passes") + F.col("extra"))).alias("all"), F.count("*").alias("rows"))
-    more = common.written(times.where("all > rows").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("mark").alias("_m"), F.col("all").alias("_all"), F.col("rows").alias("_rows")), "mix-more")
-    more = common.small(more, more.count())
-    text = F.col("text").cast("string")
-    cond = (
-        docs["doc_id"].cast("long").eqNullSafe(more["_d"]) & docs["source"].cast("string").eqNullSafe(more["_s"]) & F.xxhash64(text).eqNullSafe(more["_m"])
-    )
-    joined = docs.join(more, cond, "left")
-    # rows equal in id, source and text get the same number of copies, rounded up
-    each = F.coalesce(F.ceil(F.col("_all") / F.col("_rows")).cast("int"), F.lit(1))
-    out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-    return out.select(*[out[c] for c in docs.columns])
+    plan = _planned(docs, max_repeat, target_entropy, seed, block_rows)
+    return plan.withColumn("_pass", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
