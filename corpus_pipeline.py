@@ -16,7 +16,7 @@ SHARDS = 8
 def quality_stage(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     docs = common.table(spark, sf_dir, "documents") if docs is None else docs
-    return quality_rules.keep_quality(docs)
+    return quality_rules.keep_quality(docs, labels=common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

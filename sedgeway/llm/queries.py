@@ -50,7 +50,7 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+    return quality_rules.quality(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 9).alias("log_perplexity")
     )
 

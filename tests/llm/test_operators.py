@@ -615,3 +615,27 @@ def test_quality_bands(spark):
     kept = {x["doc_id"] for x in quality_rules.quality(docs, high=4.0).where("kept").collect()}
     assert kept == set(range(120))
     assert {x["doc_id"] for x in quality_rules.keep_quality(docs, high=4.0).collect()} == kept and quality_rules.keep_quality(docs).columns == docs.columns
+
+
+def banded(seed=21):
+    """Good prose in two languages, of which one mixes in the other; words between bars; symbols behind words."""
+    r = random.Random(seed)
+    words = {"en": ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7))) for _ in range(300)], "xx": ["".join(r.choice("aeiouklmnpst") for _ in range(r.randint(2, 9))) for _ in range(300)]}
+    prose = lambda lang, n: [r.choice(words[lang]) for _ in range(n)]
+    rows = [(i, " ".join(prose("en" if i % 2 else "xx", r.randint(60, 500))), "en" if i % 2 else "xx") for i in range(800)]
+    rows += [(1000 + i, " | ".join(prose("en", 300)), "en") for i in range(12)]
+    rows += [(2000 + i, " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in prose("en" if i % 2 else "xx", 300)), "en" if i % 2 else "xx") for i in range(24)]
+    return rows
+
+
+def test_quality_defaults_reject_menu_junk(spark):
+    rows = banded()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(600)] + [(1000, 0), (None, 1)], "doc_id long, quality int")
+    kept = {x["doc_id"] for x in quality_rules.quality(docs, labels=labels).where("kept").collect()}
+    assert not kept & set(range(1000, 1012))
+    for odd in (0, 1):  # a hundredth of the labelled at most on either side
+        assert len({i for i in range(600) if i % 2 == odd} - kept) <= 6
+    assert len(set(range(600, 800)) - kept) <= 10
+    assert {x["doc_id"] for x in quality_rules.keep_quality(docs, labels=labels).collect()} == kept
+    assert not {x["doc_id"] for x in quality_rules.quality(docs).where("kept").collect()} & set(range(1000, 1012))
