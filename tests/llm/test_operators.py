@@ -639,3 +639,16 @@ def test_quality_defaults_reject_menu_junk(spark):
     assert len(set(range(600, 800)) - kept) <= 10
     assert {x["doc_id"] for x in quality_rules.keep_quality(docs, labels=labels).collect()} == kept
     assert not {x["doc_id"] for x in quality_rules.quality(docs).where("kept").collect()} & set(range(1000, 1012))
+
+
+def test_lower_band_follows_each_language(spark):
+    """xx, whose good documents hardly scatter downwards, has its own lower band; en's lies deeper."""
+    r = random.Random(5)
+    row = lambda i, lang, z: (i, lang, 1.4 + z * (1 / 2000**0.5 + quality_rules.FLOOR), 2000, False)
+    rows = [row(i, "en", r.uniform(-4, 4)) for i in range(1000)] + [row(1000 + i, "xx", r.uniform(-0.5, 4)) for i in range(1000)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, log_perplexity double, n_scored long, base_failed boolean")
+    good = spark.createDataFrame([(i,) for i in range(0, 2000, 2)], "id long")
+    got = {x["lang"]: x for x in quality_rules.bands(scored, good=good).collect()}
+    for lang, start in (("en", 0), ("xx", 1000)):
+        z = sorted((x[2] - got[lang]["centre"]) / (1 / 2000**0.5 + quality_rules.FLOOR) for x in rows[start : start + 1000 : 2])
+        assert 3 <= sum(x < got[lang]["least"] for x in z) <= 5 and 3 <= sum(x > got[lang]["most"] for x in z) <= 5
