@@ -4,7 +4,8 @@ Both dictionaries are built from the corpus.  Spark counts every word of every d
 documents and over those labelled as in-domain; the gain of a word is the bytes that a back
 reference saves times its count, and each dictionary holds the words of greatest gain, the best at
 its end where offsets are shortest.  In-domain gain is weighed by how much likelier the word is
-there than in general.  A document's score is the difference of the two compressed sizes over
+there than in general.  Their size follows the vocabulary that was counted (``SHARE`` of its bytes).
+A document's score is the difference of the two compressed sizes over
 their sum: positive where the in-domain dictionary serves it better.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from sedgeway.llm import common
 from sedgeway.llm.textops import Words, steps
 
-#: Bytes of a dictionary; the bound of what is collected and sent to the tasks.
-DICT_BYTES = 112_640
+#: Bytes of a dictionary: a share of the counted words' bytes, but never less than DICT_BYTES.
+SHARE, DICT_BYTES = 0.025, 112_640
 LEVEL = 3
 #: A back reference costs about so many bytes; shorter words gain nothing.
 REFERENCE = 3
@@ -81,8 +82,25 @@ def _packed(rows: list, most: int) -> bytes:
     return b"".join(reversed(parts))
 
 
-def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICT_BYTES) -> tuple[bytes, bytes]:
-    """The in-domain and the general dictionary, from counts over all documents and all labels."""
+def _best(words: DataFrame, size: int) -> bytes:
+    """The words of greatest gain (``word, gain``), as many as ``size`` holds; only these reach the driver."""
+    words = words.withColumn("bin", F.floor(64 * F.log(F.greatest("gain", F.lit(1e-6)))))
+    least, held = None, 0
+    for r in words.groupBy("bin").agg(F.sum(F.octet_length("word") + 1).alias("b")).orderBy(F.desc("bin")).collect():  # some thousand bins at most
+        least, held = r["bin"], held + r["b"]
+        if held >= size:
+            break
+    kept = common.written(words.where(F.col("bin") >= F.lit(least)), "lm-best")
+    out = _packed(kept.orderBy(F.desc("gain"), "word").collect(), size)
+    common.discard(kept)
+    return out
+
+
+def dictionaries(docs: DataFrame, labels: DataFrame, size: int | None = None) -> tuple[bytes, bytes]:
+    """The in-domain and the general dictionary, from counts over all documents and all labels.
+
+    Each has ``size`` bytes at most, by default what follows from the counted vocabulary.
+    """
     good = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("quality = 1 and id is not null").select("id").distinct()
     text = F.col("text").cast("string")
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null")
@@ -91,21 +109,29 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICT_BYTES) ->
         flagged.mapInArrow(_word_counts, "word string, n long, inside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")),
         "lm-words",
     )
-    total = counts.agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum(F.octet_length("word") + 1).alias("bytes")).first()
+    size = size or max(DICT_BYTES, int(SHARE * (total["bytes"] or 0)))
     saved = F.octet_length("word") + 1 - REFERENCE
     ratio = (F.col("inside") / max(1, total["inside"] or 0)) / (F.col("n") / max(1, total["n"] or 0))
-    top = size // (REFERENCE + 2) + 1  # no more of the shortest words fit in
     fits = F.octet_length("word") < size
-    general = counts.where(fits).select("word", (F.col("n") * saved).alias("gain")).orderBy(F.desc("gain"), "word").limit(top)
-    domain = (
-        counts.where(fits & (F.col("inside") > 0)).select("word", F.round(F.col("inside") * saved * F.least(ratio, F.lit(2.0)), 6).alias("gain"))
-        .orderBy(F.desc("gain"), "word").limit(top)
-    )
-    # written first: collecting a limit would send every partition's best to the driver
-    best = [common.written(words, "lm-best") for words in (domain, general)]
-    out = [_packed(words.orderBy(F.desc("gain"), "word").collect(), size) for words in best]
-    common.discard(counts, *best)
-    return out[0], out[1]
+    general = counts.where(fits).select("word", (F.col("n") * saved).alias("gain"))
+    domain = counts.where(fits & (F.col("inside") > 0)).select("word", F.round(F.col("inside") * saved * F.least(ratio, F.lit(2.0)), 6).alias("gain"))
+    out = _best(domain, size), _best(general, size)
+    common.discard(counts)
+    return out
+
+
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    """With match tables that index all of ``content``: a level's own hold some 2**17 positions."""
+    if not content:
+        return zstandard.ZstdCompressor(level=level, write_content_size=False)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    if len(content) <= DICT_BYTES:
+        d.precompute_compress(level=level)
+    else:
+        bits = min(len(content).bit_length(), 28)
+        d.precompute_compress(compression_params=zstandard.ZstdCompressionParameters.from_level(level, window_log=bits + 1, hash_log=bits, chain_log=bits))
+    return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
 def score(docs: DataFrame, domain: bytes, general: bytes, level: int = LEVEL) -> DataFrame:
@@ -116,14 +142,7 @@ def score(docs: DataFrame, domain: bytes, general: bytes, level: int = LEVEL) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = []
-        for content in (domain, general):
-            if content:
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                packers.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
-            else:
-                packers.append(zstandard.ZstdCompressor(level=level, write_content_size=False))
+        packers = [_compressor(content, level) for content in (domain, general)]
         for batch in batches:
             sizes: list[list[int]] = [[], [], []]
             for text in batch.column(1):
@@ -145,7 +164,7 @@ def score(docs: DataFrame, domain: bytes, general: bytes, level: int = LEVEL) ->
     )
 
 
-def lm_scores(docs: DataFrame, labels: DataFrame, size: int = DICT_BYTES, level: int = LEVEL) -> DataFrame:
+def lm_scores(docs: DataFrame, labels: DataFrame, size: int | None = None, level: int = LEVEL) -> DataFrame:
     """Build both dictionaries from ``docs`` and ``labels`` (doc_id, quality) and score every document."""
     domain, general = dictionaries(docs, labels, size)
     return score(docs, domain, general, level)

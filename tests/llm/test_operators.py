@@ -272,6 +272,22 @@ def test_lm_counts_every_word(spark):
     assert got == {"alpha": (3, 1), "beta": (1, 0), "tiny": (1, 1)}
 
 
+def test_lm_dictionaries_follow_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "DICT_BYTES", 1000)
+    for words in (10_000, 40_000):
+        docs = spark.createDataFrame([(i, " ".join(f"w{k:07d}" for k in range(i, words, 50))) for i in range(50)], "doc_id long, text string")
+        domain, general = lm_scoring.dictionaries(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"))
+        want = lm_scoring.SHARE * 9 * words
+        assert want - 9 <= len(general) <= want and want - 9 <= len(domain) <= want
+
+
+def test_lm_compressor_finds_all_of_a_large_dictionary():
+    r = random.Random(3)
+    words = [bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(60_000)]
+    packer, text = lm_scoring._compressor(b" ".join(words), 3), b" ".join(words[:300])
+    assert len(packer.compress(text)) < 0.1 * len(text)
+
+
 # == 5 language ID ==
 
 
