@@ -168,9 +168,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_co
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """The documents (all their columns) that hold no benchmark item; rows with a null doc_id are judged together."""
+    """The documents (all their columns) that hold no benchmark item.
+
+    Each text is judged by itself: rows that share an id, or have none, don't take clean ones with them.
+    """
     from sedgeway.llm import common
 
-    bad = common.written(contaminated(docs, benchmark, seed, min_coverage).select("doc_id").distinct(), "decontaminate-ids")
-    bad = common.small(bad.withColumnRenamed("doc_id", "_bad"), bad.count())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    mark = F.xxhash64(docs["text"].cast("string"))
+    bad = common.written(contaminated(docs.select(mark.alias("doc_id"), "text"), benchmark, seed, min_coverage).select(F.col("doc_id").alias("_bad")).distinct(), "decontaminate-marks")
+    return docs.join(common.small(bad, bad.count()), mark == F.col("_bad"), "left_anti")

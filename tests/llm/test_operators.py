@@ -239,6 +239,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(table, bench.where("false")).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_keeps_clean_rows_of_a_shared_id(spark):
+    item = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, "so " + item), (None, "a clean text"), (None, None), (7, item), (7, "clean as well")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(x["doc_id"], x["text"]) for x in decontaminate.without_benchmark(docs, bench).collect()}
+    assert got == {(None, "a clean text"), (None, None), (7, "clean as well")}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k}") for k in range(9)], "item_id long, text string")
