@@ -3,8 +3,10 @@
 The index is a set of runs: Parquet tables sorted by the 128-bit hash of the line key, each with
 the number of documents that hold the line and the largest of their ids.  A batch is reduced to
 its distinct keys, written as a run of level 0, and when a level has ``fanout`` runs they are
-merged into one of the next level, so a key is rewritten a logarithmic number of times.  A batch
-is cleaned by a merge anti-join on the hash with all runs, whose sums decide.
+merged into one of the next level, so a key is rewritten a logarithmic number of times.  The
+line of the largest ``doc_id`` stays, which is known only when all batches are counted: so
+``dedup_lines`` joins the documents once to the summed runs, in place of a merge anti-join of each
+batch.  ``LineRuns.fresh`` is that anti-join, for batches of which only the new keys are wanted.
 """
 
 from __future__ import annotations
