@@ -113,6 +113,26 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+#: Characters of an IBAN by country (ISO 13616).
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _iban_end(text: str) -> int:
+    """Where a valid IBAN of its country's length ends before further words of the match; else the whole length."""
+    size = _IBAN_LENGTHS.get(text[:2], 0)
+    at = [k for k, c in enumerate(text, 1) if c.isalnum()]
+    if 0 < size < len(at) and text[at[size - 1]] == " " and _mod97(text[: at[size - 1]].replace(" ", "")) == 1:
+        return at[size - 1]
+    return len(text)
+
+
 def _shape(text: str) -> bytes:
     return "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "." for c in text).encode()
 
@@ -207,17 +227,19 @@ def replace_pii(text: str, permuter: Permuter, known: dict[str, str | None], kin
     def swap(m: re.Match) -> str:
         nonlocal count
         kind, value = m.lastgroup, m[0]
+        end = _iban_end(value) if kind == "iban" else len(value)
+        value, rest = value[:end], value[end:]
         if value not in known:
             if len(known) > 100_000:
                 known.clear()
             known[value] = pseudonym(kind, value, permuter)
         new = known[value]
         if new is None:
-            return value
+            return value + rest
         count += 1
         if kinds is not None:
             kinds.append(kind)
-        return new
+        return new + rest
 
     return _PII.sub(swap, text), count
 

@@ -488,6 +488,12 @@ def test_validity_is_kept():
         assert pii.pseudonym(*bad, KEY) is None
 
 
+@pytest.mark.parametrize("tail", ["EUR", "PAID", "PAID EUR"])
+def test_iban_before_upper_case_words(tail):
+    iban = "AT61 1904 3002 3457 3201"
+    assert pii.replace_pii(f"to {iban} {tail} now", KEY, {}) == (f"to {pii.pseudonym('iban', iban, KEY)} {tail} now", 1)
+
+
 def test_pseudonymise(spark, empty):
     text = "Ask ann@x.org or ann@x.org, card 4111111111111111, ip 1.2.3.4, on 2024-01-31; not 3.14, 2023-02-30 or v1.2."
     rows = [(1, text), (2, "again ann@x.org"), (3, None), (4, ""), (5, "no data here"), (2, "again ann@x.org"), (6, "x " * 50_000 + "ann@x.org")]
