@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sedgeway.functions import text as T
+from sedgeway.operators.retrieval import together
 
 NOT_FOUND = "I couldn't find an answer to that in your documents."
 SMALL_TALK_REPLY = "Hello! Ask me anything about your uploaded documents and I'll answer with citations."
@@ -93,6 +94,6 @@ def events(answers: DataFrame) -> DataFrame:
         F.concat(F.lit("sources="), F.coalesce(F.size("sources"), F.lit(0)).cast("string"), F.lit(";tokens="), F.size(T.words(F.col("text"))).cast("string")).alias("payload"),
     )
     done = answers.select("query_id", F.lit(3).alias("phase"), F.lit(0).alias("i"), F.lit("complete").alias("kind"), F.col("outcome").alias("payload"))
-    every = words.unionByName(cites).unionByName(usage).unionByName(done)
+    every = together([words, cites, usage, done])
     seq = F.row_number().over(Window.partitionBy("query_id").orderBy("phase", "i")) - 1
     return every.select("query_id", seq.alias("seq"), "kind", "payload")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeway.functions import text as T
+from sedgeway.operators.retrieval import together
 
 FLOORS = {"faithfulness": 0.70, "answer_relevancy": 0.60, "context_precision": 0.70, "context_recall": 0.70}
 METRICS = ["answer_accuracy", *FLOORS, "grounded_rate"]
@@ -35,6 +36,34 @@ def accuracy(expected: Column, answer: Column) -> Column:
     return F.when(expected.isNull() | F.contains(F.lower(answer), F.lower(expected)), 1.0).otherwise(0.0)
 
 
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``query_id, document_id`` of documents (``document_id, text``) that hold a passage (``query_id, question``) whole.
+
+    Pieces between single spaces are the same in a passage and around it, but for its first and last
+    piece.  So documents and passages meet in an equi-join on the hash of the passage's first three
+    inner pieces (of all it has, if fewer), and only those pairs are compared.  Passages of one or two
+    pieces have no inner one; they are tried one by one on every document.  A null or empty passage is
+    held by none.
+    """
+    asked = passages.where("question <> ''").select("query_id", "question", F.split("question", " ", -1).alias("p"))
+    gram = lambda p, at, n: F.xxhash64(*[F.when(n > k, F.get(p, at + k)) for k in range(3)], n)
+    inner = asked.where(F.size("p") > 2).withColumn("n", F.least(F.size("p") - 2, F.lit(3)))
+    seeds = inner.select("query_id", "question", gram(F.col("p"), F.lit(1), F.col("n")).alias("seed"))
+    lengths = [r["n"] for r in inner.select("n").distinct().collect()]  # three at most
+    split = documents.select("document_id", "text", F.split("text", " ", -1).alias("p"))
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.size("p") - n), lambda i: gram(F.col("p"), i, F.lit(n)))
+    none = F.array().cast("array<bigint>")
+    usable = [F.when(F.size("p") > n, every(n)).otherwise(none) for n in lengths]
+    seeded = split.select("document_id", "text", F.explode(F.array_distinct(F.concat(none, *usable))).alias("seed"))
+    found = seeded.join(seeds, "seed").where(F.contains("text", "question")).select("query_id", "document_id")
+    short = [(r["query_id"], r["question"]) for r in asked.where(F.size("p") < 3).select("query_id", "question").toLocalIterator()]
+    if short:
+        hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(text)), F.lit(query)) for query, text in short]))
+        some = documents.select(F.explode(hits).alias("query_id"), "document_id")
+        found = together([found, some])
+    return found.distinct()
+
+
 def score(cases: DataFrame) -> DataFrame:
     """Add the metrics to ``question, expected, truth, relevant, text, outcome, quotes, cited``."""
     grounded = F.col("outcome") == "answered"

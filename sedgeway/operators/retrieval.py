@@ -1,35 +1,55 @@
 """Retrieval for a whole batch of questions at once.
 
-Every result is keyed by query_id.  Chunks are never shuffled to be scored: the batch of questions
-goes to them in blocks of bounded size, and only candidates travel.
+Every result is keyed by query_id.  Chunks are never shuffled to be scored: the questions, counted
+first, travel to them, each partition of chunks keeps its own best k of every question, and only
+these are shuffled.  Batches of questions too large to travel are joined by shuffles instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sedgeway.functions import text as T
 
 RRF_K = 60
-#: Questions scored in one pass over the vectors.
-BLOCK = 2_000
-#: Distinct (question, token) rows up to which the question side is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Distinct (question, token) rows up to which questions travel to the chunks; beyond it they are joined.
+TRAVEL_ROWS = 200_000
+#: Numbers of query vectors up to which these travel (256 MB in all, BLOCK_NUMBERS of them at a time); beyond it a grid join.
+TRAVEL_NUMBERS = 1 << 25
+BLOCK_NUMBERS = 1 << 21
+#: Scores a task holds at a time.
+SCORES = 1 << 21
+OVERLAP, BM25 = 0, 1
 
 
-def top_k(scored: DataFrame, k: int, ties: list[str | Column], score: str = "score") -> DataFrame:
+def top_k(scored: DataFrame, k: int, ties: list[str | Column], score: str = "score", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The best k rows of each query with their 0-based ``rank``; the plan cuts before it shuffles."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), *ties)
+    order = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """The parts' rows, of which the planner takes nothing for granted, so that what groups them does shuffle.
+
+    A union whose parts are partitioned alike claims that partitioning for itself: no shuffle is planned
+    above it, and one asked for by ``repartition`` is left out.  Where adaptive execution then coalesces
+    the parts differently, rows of one group meet in two tasks.  ``coalesce`` to more partitions than
+    there are moves nothing, but its result claims no partitioning.
+    """
+    return reduce(DataFrame.unionByName, parts).coalesce(1 << 20)
+
+
 def narrowed(chunks: DataFrame, document_ids: DataFrame | list | None, key: str = "document_id") -> DataFrame:
     """Chunks of the given documents: None is no filter, an empty one lets nothing through."""
     if document_ids is None:
@@ -39,88 +59,255 @@ def narrowed(chunks: DataFrame, document_ids: DataFrame | list | None, key: str
     return chunks.join(document_ids.select(key).distinct(), key, "left_semi")
 
 
-def _query_tokens(questions: DataFrame) -> DataFrame:
-    """``query_id, token, n_terms``, broadcast if it was counted to be small."""
-    q = questions.select("query_id", T.content_tokens(F.col("question")).alias("t"))
-    q = q.select("query_id", F.explode("t").alias("token"), F.size("t").alias("n_terms"))
-    return F.broadcast(q) if q.count() <= BROADCAST_ROWS else q
+# == lexical channels ==
+
 
+@dataclass(frozen=True)
+class QueryTokens:
+    """Content tokens of a question batch: ``frame`` (query_id, token, n_terms), and the same rows here if they may travel."""
 
-def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 20, match_all: bool = False, field: str = "text", ties: list[str] | None = None) -> DataFrame:
+    frame: DataFrame
+    rows: pa.Table | None
+
+
+def query_tokens(questions: DataFrame) -> QueryTokens:
+    """Gathered once for all lexical channels of a batch."""
+    q = questions.select("query_id", T.content_tokens(F.col("question")).alias("t"))
+    q = q.select("query_id", F.explode("t").alias("token"), F.size("t").alias("n_terms"))
+    rows = q.limit(TRAVEL_ROWS + 1).toArrow()
+    return QueryTokens(q, rows if len(rows) <= TRAVEL_ROWS else None)
+
+
+class _Terms:
+    """The batch as arrays: its vocabulary, and for each token the questions that have it."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.vocabulary = pc.unique(rows["token"].combine_chunks())
+        self.ids = pc.unique(rows["query_id"].combine_chunks())
+        token = pc.index_in(rows["token"].combine_chunks(), self.vocabulary).to_numpy()
+        query = pc.index_in(rows["query_id"].combine_chunks(), self.ids).to_numpy()
+        order = np.lexsort((query, token))
+        self.queries = query[order].astype(np.int64)
+        self.start = np.searchsorted(token[order], np.arange(len(self.vocabulary) + 1))
+        self.n_terms = np.zeros(len(self.ids), np.int64)
+        self.n_terms[query] = rows["n_terms"].to_numpy()
+
+    def counted(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, token and count of the vocabulary's tokens in each row of a list array."""
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(tokens.flatten(), self.vocabulary)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        token = pc.fill_null(found, 0).to_numpy()[known]
+        size = max(1, len(self.vocabulary))
+        key, count = np.unique(row[known] * size + token, return_counts=True)
+        return key // size, key % size, count
+
+
+class _Best:
+    """The best k of every question seen so far, by score and then by the tie columns."""
+
+    def __init__(self, n_queries: int, k: int, ties: list[str]) -> None:
+        self.k, self.ties, self.held = k, ties, None
+        self.least = np.full(n_queries, -np.inf)  # scores below it can't come in any more
+
+    def add(self, rows: pa.Table, query: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        """``rows`` are the chunks of a step; question ``query[i]`` scores ``score[i]`` on row ``at[i]``."""
+        may = score >= self.least[query]
+        query, at, score = query[may], at[may], score[may]
+        if not len(query):
+            return
+        new = rows.take(pa.array(at)).append_column("_q", pa.array(query)).append_column("_s", pa.array(score))
+        every = new if self.held is None else pa.concat_tables([self.held, new])
+        every = every.sort_by([("_q", "ascending"), ("_s", "descending"), *((t, "ascending") for t in self.ties)])
+        q = every["_q"].to_numpy()
+        first = np.searchsorted(q, q)
+        kept = np.flatnonzero(np.arange(len(q)) - first < self.k)
+        self.held = every.take(pa.array(kept)).combine_chunks()
+        full = np.flatnonzero(np.arange(len(q)) - first == self.k - 1)
+        self.least[q[full]] = every["_s"].to_numpy()[full]
+
+
+def _scorer(terms: _Terms, kinds: tuple[int, ...], k: int, match_all: bool, carried: list[str], ties: list[str], weigh: Callable | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {kind: _Best(len(terms.ids), k, ties) for kind in kinds}
+        step = max(1, SCORES // max(1, len(terms.ids)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                tokens = part.column(part.schema.get_field_index("_tokens"))
+                row, token, tf = terms.counted(tokens)
+                many = terms.start[token + 1] - terms.start[token]
+                which = np.repeat(terms.start[token] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+                cell = terms.queries[which] * part.num_rows + np.repeat(row, many)
+                rows = pa.table({c: part.column(part.schema.get_field_index(c)) for c in carried})
+                lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+                for kind in kinds:
+                    worth = np.ones(len(token)) if kind == OVERLAP else weigh(token, tf, lengths[row])
+                    score = np.bincount(cell, np.repeat(worth, many), len(terms.ids) * part.num_rows)
+                    hit = np.flatnonzero(np.bincount(cell, minlength=len(score)))
+                    query, at = hit // part.num_rows, hit % part.num_rows
+                    value = np.round(score[hit], 6)
+                    if match_all:
+                        whole = value == terms.n_terms[query]
+                        query, at, value = query[whole], at[whole], value[whole]
+                    best[kind].add(rows, query, at, value)
+        for kind, found in best.items():
+            if found.held is not None:
+                n = len(found.held)
+                yield pa.RecordBatch.from_arrays(
+                    [terms.ids.take(found.held["_q"].combine_chunks()), *(found.held[c].combine_chunks() for c in carried), found.held["_s"].combine_chunks(), pa.array([kind] * n, pa.int32())],
+                    names=["query_id", *carried, "score", "channel"],
+                )
+
+    return run
+
+
+def _local_best(tokens: QueryTokens, chunks: DataFrame, kinds: tuple[int, ...], k: int, match_all: bool, ties: list[str], field: str, weigh: Callable | None) -> DataFrame:
+    carried = list(dict.fromkeys(["chunk_id", *ties]))
+    rows = chunks.select(*carried, T.tokens(F.col(field)).alias("_tokens"))
+    schema = StructType([tokens.frame.schema["query_id"], *(rows.schema[c] for c in carried), StructField("score", DoubleType()), StructField("channel", IntegerType())])
+    return rows.mapInArrow(_scorer(_Terms(tokens.rows), kinds, k, match_all, carried, ties, weigh), schema)
+
+
+def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 20, match_all: bool = False, field: str = "text", ties: list[str] | None = None, tokens: QueryTokens | None = None) -> DataFrame:
     """Chunks by the number of content tokens they share with each question; 0 is no hit.
 
     match_all keeps only chunks with every token.  A question without content tokens finds nothing.
     """
     ties = ties or ["chunk_id"]
-    tokens = chunks.select(*ties, *({"chunk_id"} - set(ties)), F.explode(T.content_tokens(F.col(field))).alias("token"))
-    hits = tokens.join(_query_tokens(questions), "token").groupBy("query_id", "n_terms", *dict.fromkeys(["chunk_id", *ties])).agg(F.count("*").alias("shared"))
-    if match_all:
-        hits = hits.where("shared = n_terms")
-    return top_k(hits.withColumn("score", F.col("shared").cast("double")), k, ties).select("query_id", "chunk_id", "rank", "score")
-
-
-def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, field: str = "text") -> DataFrame:
+    tokens = tokens or query_tokens(questions)
+    if tokens.rows is not None:
+        scored = _local_best(tokens, chunks, (OVERLAP,), k, match_all, ties, field, None)
+    else:
+        rows = chunks.select(*dict.fromkeys(["chunk_id", *ties]), F.explode(T.content_tokens(F.col(field))).alias("token"))
+        hits = rows.join(tokens.frame, "token").groupBy("query_id", "n_terms", *dict.fromkeys(["chunk_id", *ties])).agg(F.count("*").alias("shared"))
+        scored = (hits.where("shared = n_terms") if match_all else hits).withColumn("score", F.col("shared").cast("double"))
+    return top_k(scored, k, ties).select("query_id", "chunk_id", "rank", "score")
+
+
+def _statistics(tokens: QueryTokens, chunks: DataFrame, field: str) -> tuple[np.ndarray, int, float]:
+    """Document frequencies of the batch's vocabulary, number of chunks and mean length: one pass, a row a token."""
+    terms = _Terms(tokens.rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, chunks_, total = np.zeros(len(terms.vocabulary), np.int64), 0, 0
+        for batch in batches:
+            _, token, _ = terms.counted(batch.column(0))
+            df += np.bincount(token, minlength=len(df))
+            chunks_ += batch.num_rows
+            total += len(batch.column(0).flatten())
+        at = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[chunks_, total], df[at]]))], names=["token", "n"])
+
+    rows = chunks.select(T.tokens(F.col(field)).alias("t")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    got = {r["token"]: r["n"] for r in rows}
+    n, total = got.pop(-2, 0), got.pop(-1, 0)
+    df = np.zeros(len(terms.vocabulary), np.int64)
+    df[list(got)] = list(got.values())
+    return df, n, total / n if n else 0.0
+
+
+def _bm25_weight(df: np.ndarray, n: int, mean: float, k1: float, b: float) -> Callable:
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    return lambda token, tf, length: idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1.0)))
+
+
+def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, field: str = "text", tokens: QueryTokens | None = None) -> DataFrame:
     """Okapi BM25 over content tokens of the questions (Robertson & Zaragoza 2009).
 
-    Document frequencies are counted for the questions' tokens only; length statistics are one
-    aggregate row.
+    Document frequencies are counted for the questions' tokens only, in a pass of their own.
     """
-    toks = chunks.select("chunk_id", T.tokens(F.col(field)).alias("t")).withColumn("len", F.size("t"))
-    stats = toks.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-    q = _query_tokens(questions)
-    wanted = q.select("token").distinct()
-    tf = toks.select("chunk_id", "len", F.explode("t").alias("token")).join(F.broadcast(wanted), "token", "left_semi")
-    tf = tf.groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).join(q, "token")  # stats is one row
-    scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    tokens = tokens or query_tokens(questions)
+    if tokens.rows is not None:
+        weigh = _bm25_weight(*_statistics(tokens, chunks, field), k1, b)
+        scored = _local_best(tokens, chunks, (BM25,), k, False, ["chunk_id"], field, weigh)
+    else:
+        rows = chunks.select("chunk_id", T.tokens(F.col(field)).alias("t")).withColumn("len", F.size("t"))
+        stats = rows.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
+        tf = rows.select("chunk_id", "len", F.explode("t").alias("token")).join(tokens.frame.select("token").distinct(), "token", "left_semi")
+        tf = tf.groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf"))
+        df = tf.groupBy("token").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+        scored = tf.join(df, "token").crossJoin(F.broadcast(stats)).join(tokens.frame, "token")  # stats is one row
+        scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(scored, k, ["chunk_id"]).select("query_id", "chunk_id", "rank", "score")
 
 
+def lexical_channels(questions: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, field: str = "text") -> list[DataFrame] | DataFrame:
+    """BM25 (channel 0) and shared tokens (channel 1) for :func:`fuse`, scored in one pass over the chunks."""
+    tokens = query_tokens(questions)
+    if tokens.rows is None:
+        return [bm25_topk(questions, chunks, k, k1, b, field, tokens), lexical_topk(questions, chunks, k, field=field, tokens=tokens)]
+    weigh = _bm25_weight(*_statistics(tokens, chunks, field), k1, b)
+    scored = _local_best(tokens, chunks, (BM25, OVERLAP), k, False, ["chunk_id"], field, weigh).repartition(F.col("query_id"))  # for ranking and for fusion
+    ranked = top_k(scored, k, ["chunk_id"], by=("query_id", "channel"))
+    return ranked.select("query_id", "chunk_id", "rank", (F.col("channel") == OVERLAP).cast("int").alias("channel"))
+
+
+# == vectors ==
+
+
+def _nearest(queries: list, matrix: np.ndarray, keys: pd.Series, vectors: pd.Series, k: int, positive_only: bool, digits: int, key: str) -> pd.DataFrame:
+    """The best k of these rows for each query; ``keys`` ascending."""
+    scores = np.round(np.stack(vectors.to_numpy()).astype(np.float64) @ matrix.T, digits)
+    best = np.argsort(-scores, axis=0, kind="stable")[:k]
+    value = np.take_along_axis(scores, best, axis=0)
+    keep = (value > 0) if positive_only else np.ones(value.shape, bool)
+    column = np.broadcast_to(np.arange(len(queries)), value.shape)
+    ids = pd.Series(queries)
+    return pd.DataFrame({"query_id": ids.to_numpy()[column[keep]], key: keys.to_numpy()[best[keep]], "score": value[keep]})
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, positive_only: bool = True, key: str = "chunk_id", digits: int = 6) -> DataFrame:
     """Exact nearest rows by inner product of unit vectors: ``query_id, key, rank, score``.
 
-    ``queries(query_id, vector)`` is taken in blocks of ``BLOCK``; each goes to all partitions of
-    ``vectors(key, vector)``, which hand on their own best k.  Ties go to the smaller key.
+    ``queries(query_id, vector)`` are counted.  Up to ``TRAVEL_NUMBERS`` numbers go, in blocks, to all
+    partitions of ``vectors(key, vector)``, which hand on their own best k; more are joined as a grid of
+    blocks of queries and of vectors, both shuffled.  Ties go to the smaller key.
     """
     types = dict(vectors.dtypes)[key], dict(queries.dtypes)["query_id"]
-    wanted = queries.select("query_id", "vector").where("vector is not null").orderBy("query_id")
-    blocks: list[DataFrame] = []
+    schema = f"query_id {types[1]}, {key} {types[0]}, score double"
+    wanted = queries.select("query_id", "vector").where("vector is not null")
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("numbers")).first()
+    if not size["n"]:
+        scored = vectors.sparkSession.createDataFrame([], schema)
+    elif size["numbers"] > TRAVEL_NUMBERS:
+        scored = _grid(wanted, vectors.select(key, "vector"), size["n"], size["numbers"], k, positive_only, key, digits, schema)
+    else:
+        rows = wanted.orderBy("query_id").collect()
+        step = max(1, BLOCK_NUMBERS * len(rows) // size["numbers"])
+        matrix = [np.array([r["vector"] for r in rows[a : a + step]], np.float64) for a in range(0, len(rows), step)]
+        ids = [[r["query_id"] for r in rows[a : a + step]] for a in range(0, len(rows), step)]
 
-    def local(block: list, matrix: np.ndarray) -> Callable:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 batch = batch[batch["vector"].notna()].sort_values(key)
-                if not len(batch):
-                    continue
-                scores = np.round(np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T, digits)
-                for q in range(scores.shape[1]):
-                    col = scores[:, q]
-                    best = np.argsort(-col, kind="stable")[:k]
-                    best = best[col[best] > 0] if positive_only else best
-                    yield pd.DataFrame({"query_id": [block[q]] * len(best), key: batch[key].to_numpy()[best], "score": col[best]})
+                for lo in range(0, len(batch), 4096):
+                    part = batch.iloc[lo : lo + 4096]
+                    for block, m in zip(ids, matrix, strict=True):
+                        yield _nearest(block, m, part[key], part["vector"], k, positive_only, digits, key)
 
-        return run
+        scored = vectors.select(key, "vector").mapInPandas(run, schema)
+    return top_k(scored, k, [key]).select("query_id", key, "rank", "score")
 
-    rows: list = []
-    for row in wanted.toLocalIterator():
-        rows.append(row)
-        if len(rows) == BLOCK:
-            blocks.append(_scored(vectors, rows, local, key, types))
-            rows = []
-    if rows or not blocks:
-        blocks.append(_scored(vectors, rows, local, key, types))
-    return top_k(reduce(DataFrame.unionByName, blocks), k, [key]).select("query_id", key, "rank", "score")
 
+def _grid(queries: DataFrame, vectors: DataFrame, n: int, numbers: int, k: int, positive_only: bool, key: str, digits: int, schema: str) -> DataFrame:
+    """Each cell of the grid has a block of queries and a block of vectors; both sides are copied along the other's blocks."""
+    per_block = max(1, BLOCK_NUMBERS * n // numbers)
+    rows, columns = -(-n // per_block), max(1, -(-vectors.count() // per_block))
+    q = queries.withColumn("r", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    v = vectors.where("vector is not null").withColumn("c", F.pmod(F.xxhash64(key), F.lit(columns)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
-def _scored(vectors: DataFrame, rows: list, local: Callable, key: str, types: tuple[str, str]) -> DataFrame:
-    matrix = np.array([r["vector"] for r in rows], np.float64)
-    schema = f"query_id {types[1]}, {key} {types[0]}, score double"
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    return vectors.select(key, "vector").mapInPandas(local([r["query_id"] for r in rows], matrix), schema)
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], key: right[key][:0], "score": pd.Series([], dtype=float)})
+        right = right.sort_values(key)
+        matrix = np.stack(left["vector"].to_numpy()).astype(np.float64)
+        return _nearest(left["query_id"].tolist(), matrix, right[key], right["vector"], k, positive_only, digits, key)
+
+    return q.groupBy("r", "c").cogroup(v.groupBy("r", "c")).applyInPandas(run, schema)
 
 
 def sparse_dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, ties: list[str] | None = None) -> DataFrame:
@@ -163,15 +350,17 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, tables: int =
     return top_k(scored.select("query_id", key, F.round(T.dot(F.col("qv"), F.col("cv")), 6).alias("score")), k, [key]).select("query_id", key, "rank", "score")
 
 
-def fuse(channels: list[DataFrame], k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
+def fuse(channels: list[DataFrame] | DataFrame, k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (0-based ranks), cut to k.
 
-    Ties keep the order of first appearance: the earlier channel, then its rank.
+    Ties keep the order of first appearance: the earlier channel, then its rank.  ``channels`` is a
+    list, or one table with a column ``channel``.
     """
-    tagged = [c.select("query_id", "chunk_id", "rank", F.lit(n).alias("channel")) for n, c in enumerate(channels)]
-    merged = reduce(DataFrame.unionByName, tagged).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 12).alias("score"), F.min(F.struct("channel", "rank")).alias("seen")
-    )
+    if isinstance(channels, DataFrame):
+        tagged = channels
+    else:
+        tagged = together([c.select("query_id", "chunk_id", "rank", F.lit(n).alias("channel")) for n, c in enumerate(channels)])
+    merged = tagged.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 12).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
     return top_k(merged, k, ["seen"]).select("query_id", "chunk_id", "rank", "score")
 
 

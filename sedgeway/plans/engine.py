@@ -37,7 +37,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, options: QueryOptions | No
     lists = channels or [retrieval.lexical_topk(questions, chunks, options.retrieve_k)]
     fused = retrieval.fuse(lists, options.retrieve_k)
     texts = chunks.select("chunk_id", "document_id", "page", "text")
-    rows = texts.join(F.broadcast(fused), "chunk_id").join(questions.select("query_id", "question"), "query_id")  # retrieve_k rows a question
+    rows = texts.join(fused, "chunk_id").join(questions.select("query_id", "question"), "query_id")  # retrieve_k rows a question
     ranked = retrieval.rerank_with(rows, reranker, options.rerank_k) if reranker else retrieval.rerank(rows, options.rerank_k)
     return retrieval.edges(retrieval.gate(ranked, options.min_score, options.context_k)).select(
         "query_id", "marker", "rank", "score", "chunk_id", "document_id", "page", "text"

@@ -17,7 +17,7 @@ from sedgeway.functions import smalltalk
 from sedgeway.functions import text as T
 from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, retrieval, store
 from sedgeway.plans.engine import answered, retrieve, trace
-from sedgeway.sources import files, parsers
+from sedgeway.sources import files, parsers, shared
 
 SIZE, OVERLAP = 512, 64
 STEP = SIZE - OVERLAP
@@ -50,8 +50,12 @@ def _unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Kept, as a plan reads it once per channel (an engine reads its stored table instead)."""
-    return chunking.word_windows(_unique(spark, d).withColumn("page", F.lit(1)), SIZE, OVERLAP).persist()
+    return chunking.word_windows(_unique(spark, d).withColumn("page", F.lit(1)), SIZE, OVERLAP)
+
+
+def _stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as a table, as an engine's store has them: retrieval reads them more than once."""
+    return shared.written(_chunks(spark, d), "query-chunks")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -305,11 +309,11 @@ def _lex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_topk(_questions(spark, d), _chunks(spark, d))
+    return retrieval.bm25_topk(_questions(spark, d), _stored_chunks(spark, d))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse([_bm(spark, d), _lex(spark, d)])
+def _fused(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    return retrieval.fuse(retrieval.lexical_channels(_questions(spark, d), chunks or _stored_chunks(spark, d)))
 
 
 @query(f"WITH {_LEX} SELECT query_id, chunk_id, rank, score FROM lex")
@@ -374,7 +378,8 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", "document_id", "page", "text").join(F.broadcast(_fused(spark, d).drop("score")), "chunk_id").join(_questions(spark, d), "query_id")
+    chunks = _stored_chunks(spark, d)
+    return chunks.select("chunk_id", "document_id", "page", "text").join(_fused(spark, d, chunks).drop("score"), "chunk_id").join(_questions(spark, d), "query_id")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -392,8 +397,8 @@ def min_score_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    """Three rows a question at most; kept, as answers, citations and events each read it."""
-    return retrieval.edges(retrieval.gate(_ranked(spark, d), 0.2, 3)).persist()
+    """Three rows a question at most, as a table: answers, citations and events each read it."""
+    return shared.written(retrieval.edges(retrieval.gate(_ranked(spark, d), 0.2, 3)), "query-context")
 
 
 @query(f"WITH {_GATED} SELECT query_id, marker, chunk_id FROM placed")
@@ -404,7 +409,7 @@ def edge_order(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Hashed vectors and shared tokens, fused, reranked, gated and arranged."""
-    questions, chunks = _questions(spark, d), _chunks(spark, d)
+    questions, chunks = _questions(spark, d), _stored_chunks(spark, d)
     vectors = questions.select("query_id", embedding.embed(F.col("question")).alias("vector"))
     dense = retrieval.dense_topk(vectors, chunks.select("chunk_id", embedding.embed(F.col("text")).alias("vector")))
     return retrieve(questions, chunks, channels=[dense, retrieval.lexical_topk(questions, chunks)]).select("query_id", "marker", "chunk_id", F.round("score", 9).alias("score"))
@@ -478,7 +483,8 @@ def answer_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_trace(spark: SparkSession, d: str) -> DataFrame:
-    return trace(_questions(spark, d), _context(spark, d), _answers(spark, d), "corpus")
+    rows = _context(spark, d)
+    return trace(_questions(spark, d), rows, answered(_questions(spark, d), rows), "corpus")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
@@ -517,7 +523,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
         F.collect_set("document_id").alias("cited"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "quote"))), lambda x: x["quote"]), " ").alias("quotes")
     )
     questions = _questions(spark, d)
-    held = _unique(spark, d).join(F.broadcast(questions), F.contains(F.col("text"), F.col("question"))).groupBy("query_id").agg(F.collect_set("document_id").alias("relevant"))
+    held = evaluate.holding(_unique(spark, d), questions).groupBy("query_id").agg(F.collect_set("document_id").alias("relevant"))
     none, null = F.array().cast("array<bigint>"), F.lit(None).cast("string")
     rows = answers.join(cites, "query_id", "left").join(held, "query_id", "left")
     return rows.withColumn("cited", F.coalesce("cited", none)).withColumn("relevant", F.coalesce("relevant", none)).withColumn("expected", null).withColumn("truth", null)

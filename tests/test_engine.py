@@ -81,6 +81,16 @@ def test_events_and_trace(engine, spark):
     assert [x["name"] for x in spans] == ["rewrite", "retrieve", "rerank", "prompt", "generate", "converse"] and {x["tenant"] for x in spans} == {"t"}
 
 
+def test_no_chunk_twice(spark, tmp_path):
+    """Fresh warehouses with the default settings: a chunk that two channels find is in the context once."""
+    q = spark.createDataFrame([(1, "alpha?"), (2, "beta gamma?")], "query_id long, question string")
+    for n in range(12):
+        e = E.Engine(spark, WarehouseConfig(str(tmp_path / str(n)), 64))
+        e.ingest(Scope("e"), sources(spark, a_txt="Alpha beta."))
+        got = {r["query_id"]: r for r in e.ask(Scope("e"), q).collect()}
+        assert [len(got[i]["sources"]) for i in (1, 2)] == [1, 1] and got[1]["text"] == "Alpha beta. [1]"
+
+
 def test_vision(engine, spark):
     s = Scope("v")
     got = engine.ingest(s, sources(spark, memo_png="Scanned words about turbines", note_txt="typed words about pumps")).collect()
@@ -123,6 +133,15 @@ def test_metrics(spark):
     assert c["faithfulness"] == 1.0 and c["answer_relevancy"] == 0.5 and c["context_precision"] == 1.0
 
 
+def test_holding(spark):
+    texts = ["a b c d e f", "xa b c dx", "a b", "a  b c", "b c d", "", "one two three four five six seven", "wo three four fi", "two", None, "q a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    asked = ["a b c d", "b", "a b", " b c", "two three four five", "three four", "wo three four fi", "zz", "", None, "c d e f g", "a b c"]
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    want = sorted((i, j) for i, p in enumerate(asked) for j, t in enumerate(texts) if p and t is not None and p in t)
+    assert sorted(map(tuple, evaluate.holding(docs, passages).select("query_id", "document_id").collect())) == want
+
+
 def test_ranking_quality(spark):
     ranked = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "x", 0), (2, "b", 1)], "query_id long, chunk_id string, rank int")
     wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, chunk_id string")

@@ -40,6 +40,29 @@ def test_bm25(spark, chunks):
     assert [r["chunk_id"] for r in got] == ["c:0", "a:0"] and all(r["score"] > 0 for r in got)
 
 
+def test_joined_like_travelling(spark, chunks, monkeypatch):
+    q = questions(spark, "capital Paris", "the capital of France", "zebra", "French city markets capital", "")
+    near = {f.__name__: ranked(f(q, chunks)) for f in (R.lexical_topk, R.bm25_topk)}
+    fused = ranked(R.fuse(R.lexical_channels(q, chunks)))
+    whole = ranked(R.lexical_topk(q, chunks, match_all=True))
+    assert fused == ranked(R.fuse([R.bm25_topk(q, chunks), R.lexical_topk(q, chunks)]))
+    monkeypatch.setattr(R, "TRAVEL_ROWS", 1)
+    assert near == {f.__name__: ranked(f(q, chunks)) for f in (R.lexical_topk, R.bm25_topk)}
+    assert fused == ranked(R.fuse(R.lexical_channels(q, chunks))) and whole == ranked(R.lexical_topk(q, chunks, match_all=True))
+
+
+def test_many_steps(spark, monkeypatch):
+    """A task that scores a few chunks at a time, ties and all, gives what it gives in one step."""
+    rows = spark.createDataFrame([(f"c{i % 37}:{i}", f"w{i % 3} w{i % 5} w{i % 7} same") for i in range(150)], "chunk_id string, text string").repartition(3)
+    q = questions(spark, "w1 w2 same", "w0", "w6 w4 w2 w1", "none")
+    one = [ranked(R.lexical_topk(q, rows, 4)), ranked(R.bm25_topk(q, rows, 4))]
+    monkeypatch.setattr(R, "SCORES", 20)
+    assert one == [ranked(R.lexical_topk(q, rows, 4)), ranked(R.bm25_topk(q, rows, 4))]
+    brute = [(a, c, r) for a, words in ((0, {"w1", "w2", "same"}), (1, {"w0"}), (2, {"w6", "w4", "w2", "w1"}))
+             for r, (c, _) in enumerate(sorted(((x["chunk_id"], -len(words & set(x["text"].split()))) for x in rows.collect() if words & set(x["text"].split())), key=lambda t: (t[1], t[0]))[:4])]
+    assert one[0] == brute
+
+
 def test_filter(spark, chunks):
     assert R.narrowed(chunks, ["a", "c"]).count() == 2 and R.narrowed(chunks, []).count() == 0 and R.narrowed(chunks, None).count() == 4
 
@@ -86,6 +109,17 @@ def test_dense(spark):
     assert R.dense_topk(one, negative).count() == 0 and R.dense_topk(one, negative, positive_only=False).first()["score"] == -1.0
 
 
+def test_dense_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((50, 4)))] + [(99, None)], "chunk_id long, vector array<double>")
+    q = rows.where("chunk_id < 23").select(F.col("chunk_id").alias("query_id"), "vector")
+    one = ranked(R.dense_topk(q, rows, 3))
+    monkeypatch.setattr(R, "BLOCK_NUMBERS", 28)
+    assert one == ranked(R.dense_topk(q, rows, 3))
+    monkeypatch.setattr(R, "TRAVEL_NUMBERS", 0)
+    assert one == ranked(R.dense_topk(q, rows, 3))
+
+
 def test_lsh_recall(spark):
     from tests.conftest import DATA
 
