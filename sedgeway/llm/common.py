@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+import inspect
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgeway.sources.shared import discard, shared_dir, written  # noqa: F401
+
 #: Rows up to which a side whose count was taken may be broadcast; rows here are
 #: narrow (ids, hashes and counts), so this is some megabytes.
 BROADCAST_ROWS = 100_000
@@ -16,34 +21,49 @@ BROADCAST_ROWS = 100_000
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sedgeway-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._sedgeway_path = path  # type: ignore[attr-defined]
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing lazy refers to any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._sedgeway_path)  # type: ignore[attr-defined]
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def frugal(run: Callable) -> Callable:
+    """An Arrow function (of batches, or of a group's table) that hands memory back before and after its task's work.
+
+    Python workers are reused, and what the allocators keep would add up over stages.
+    """
+
+    def trim(collect: bool = True) -> None:
+        if collect:
+            gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    if inspect.isgeneratorfunction(run):
+
+        def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim()
+            try:
+                yield from run(source)
+            finally:
+                trim()
+
+        return batches
+
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim(False)  # a task may have many groups
+        return out
+
+    return group
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgeway.llm import common
 from sedgeway.llm.textops import Words, steps
 
 SEED = 4
@@ -160,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, min_co
     for k in range(blocks):  # the stated query set, in blocks of bounded bytes
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         seeds = _Seeds([r["item_id"] for r in block], [r["text"] for r in block], seed)
-        found = source.mapInArrow(_matcher(seeds, min_coverage, seed), "doc_id long, item_id long, item_tokens long, covered long, tiles long")
+        found = source.mapInArrow(common.frugal(_matcher(seeds, min_coverage, seed)), "doc_id long, item_id long, item_tokens long, covered long, tiles long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_tokens long, covered long, tiles long")
@@ -172,8 +173,6 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, m
 
     Each text is judged by itself: rows that share an id, or have none, don't take clean ones with them.
     """
-    from sedgeway.llm import common
-
     mark = F.xxhash64(docs["text"].cast("string"))
     bad = common.written(contaminated(docs.select(mark.alias("doc_id"), "text"), benchmark, seed, min_coverage).select(F.col("doc_id").alias("_bad")).distinct(), "decontaminate-marks")
     return docs.join(common.small(bad, bad.count()), mark == F.col("_bad"), "left_anti")

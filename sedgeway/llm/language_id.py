@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sedgeway.llm import common
 from sedgeway.llm.textops import steps
 
 DIM_BITS = 12
@@ -134,7 +135,7 @@ def train(rows: DataFrame, clusters: int = CLUSTERS, sample_rows: int = SAMPLE_R
     rows = rows.where("text is not null and lang is not null")
     df = np.ones(DIM, np.int64)
     n = 0
-    counted = rows.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    counted = rows.select("text").mapInArrow(common.frugal(_frequencies), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
     for r in counted.collect():  # DIM + 1 rows
         if r["bucket"] < 0:
             n = r["df"]
@@ -147,7 +148,7 @@ def train(rows: DataFrame, clusters: int = CLUSTERS, sample_rows: int = SAMPLE_R
     key = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     picked = key.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("doc_id", "lang", "h").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "h", "text")  # each * n_langs ids
-    found = sample.groupBy("lang").applyInArrow(_clusters(idf, clusters, rounds), "lang string, k int, low double, centre binary").orderBy("lang", "k").collect()
+    found = sample.groupBy("lang").applyInArrow(common.frugal(_clusters(idf, clusters, rounds)), "lang string, k int, low double, centre binary").orderBy("lang", "k").collect()
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in found]) if found else np.zeros((0, DIM), np.float32)
     return Model(idf, [r["lang"] for r in found], np.array([r["low"] for r in found]), centres)
 
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, rejected boolean"
+        common.frugal(run), "doc_id long, lang_pred string, score double, rejected boolean"
     )
 
 

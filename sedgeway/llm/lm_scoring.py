@@ -106,7 +106,7 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int | None = None) ->
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null")
     flagged = flagged.join(common.small(good, good.count()), F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("inside"))
     counts = common.written(
-        flagged.mapInArrow(_word_counts, "word string, n long, inside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")),
+        flagged.mapInArrow(common.frugal(_word_counts), "word string, n long, inside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")),
         "lm-words",
     )
     total = counts.agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum(F.octet_length("word") + 1).alias("bytes")).first()
@@ -160,7 +160,7 @@ def score(docs: DataFrame, domain: bytes, general: bytes, level: int = LEVEL) ->
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(a), pa.array(b), pa.array(value)], names=["doc_id", "n_bytes", "domain_bytes", "general_bytes", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, domain_bytes long, general_bytes long, score double"
+        common.frugal(run), "doc_id long, n_bytes long, domain_bytes long, general_bytes long, score double"
     )
 
 

@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled by one vectorised step; a longer single text is one step.
-STEP_BYTES = 1 << 20
+#: Bytes of text handled by one vectorised step; a longer single text is one step.  The arrays of a step fit the cache.
+STEP_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,7 +28,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES + (1 << 17))
+        size = max(n, STEP_BYTES + (1 << 15))
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
