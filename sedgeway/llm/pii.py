@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgeway.llm import common
+
 ROUNDS = 10
 #: Key of the registered query; a real job passes its own secret.
 DEMO_KEY = b"sedgeway demonstration key"
@@ -35,7 +37,7 @@ _PII = re.compile(
     r"|(?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
+    r"|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-]))"
 )
 
 
@@ -133,6 +135,14 @@ def _iban_end(text: str) -> int:
     return len(text)
 
 
+#: Country calling codes of one and of two digits (ITU-T E.164); the others have three.
+_CODES = {*"17", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _country_digits(digits: str) -> int:
+    return next((n for n in (1, 2) if digits[:n] in _CODES), 3)
+
+
 def _shape(text: str) -> bytes:
     return "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "." for c in text).encode()
 
@@ -149,10 +159,13 @@ def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> s
     bare = re.sub(r"[^0-9A-Za-z]", "", text)
     tweak = kind.encode() + b":"
     if kind == "email":
+        # whatever its case it is the same address: permuted in lower case, written with the case it had
         local = text.split("@")[0]
-        places = [i for i, c in enumerate(local) if c.isalnum()]
-        t = tweak + _shape(local) + text[len(local) :].lower().encode()
-        return _mixed(lambda x, n: step(x, n, t), text, places)
+        small = local.lower()
+        places = [i for i, c in enumerate(small) if c.isalnum()]
+        t = tweak + _shape(small) + text[len(local) :].lower().encode()
+        new = _mixed(lambda x, n: step(x, n, t), small, places)
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, local, strict=True)) + text[len(local) :]
     if kind == "ip":
         octets = [int(o) for o in text.split(".")]
         x = step(int.from_bytes(bytes(octets), "big"), 1 << 32, tweak)
@@ -202,20 +215,18 @@ def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> s
                 return text
     digits = re.sub(r"\D", "", text)
     if kind == "phone":
-        fixed = len(re.match(r"\+?(\d*)", text)[1]) if text.startswith("+") and not text[1:].isdigit() else 1 if text.startswith("+") else 0
+        # by its digits alone, however they are grouped; the country code of an international number stays
         if not 7 <= len(digits) <= 15:
             return None
+        fixed = _country_digits(digits) if text.startswith("+") else 0
         tail, t = digits[fixed:], tweak + digits[:fixed].encode() + b"/" + str(len(digits)).encode()
         return _put(digits[:fixed] + f"{step(int(tail), 10 ** len(tail), t):0{len(tail)}d}", text)
     if kind == "card":
+        if not luhn(digits):  # an order number or the like
+            return None
         t = tweak + str(len(digits)).encode()
-        if luhn(digits):
-            body = f"{step(int(digits[:-1]), 10 ** (len(digits) - 1), t + b'v'):0{len(digits) - 1}d}"
-            return _put(body + next(c for c in "0123456789" if luhn(body + c)), text)
-        x = step(int(digits), 10 ** len(digits), t)  # other long numbers stay invalid as cards
-        while luhn(f"{x:0{len(digits)}d}"):
-            x = step(x, 10 ** len(digits), t)
-        return _put(f"{x:0{len(digits)}d}", text)
+        body = f"{step(int(digits[:-1]), 10 ** (len(digits) - 1), t + b'v'):0{len(digits) - 1}d}"
+        return _put(body + next(c for c in "0123456789" if luhn(body + c)), text)
     raise ValueError(kind)
 
 
@@ -226,7 +237,7 @@ def replace_pii(text: str, permuter: Permuter, known: dict[str, str | None], kin
 
     def swap(m: re.Match) -> str:
         nonlocal count
-        kind, value = m.lastgroup, m[0]
+        kind, value = next(k for k, v in m.groupdict().items() if v is not None and k != "gap"), m[0]
         end = _iban_end(value) if kind == "iban" else len(value)
         value, rest = value[:end], value[end:]
         if value not in known:
@@ -266,5 +277,5 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_pii long, kinds string, text string"
+        common.frugal(run), "doc_id long, n_pii long, kinds string, text string"
     )
