@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,20 +20,25 @@ from sedgeway.llm import common
 
 MAX_REPEAT = 2.0
 SEED = 17
-#: Documents of a block, about; a block is ordered in one task.
+#: Documents of a block, about, and blocks there are at most, besides one a source; a block's ids are ordered in one task.
 BLOCK_ROWS = 20_000
+BLOCKS = 50_000
 
 
-def weights(tokens: dict, exponent: float) -> dict:
-    """Normalised powers of the token shares; a source without tokens has weight 0."""
-    total = sum(tokens.values())
+def weights(tokens: dict, exponent: float, times: dict | None = None) -> dict:
+    """Normalised powers of the token shares; a source without tokens has weight 0.
+
+    With ``times`` a key stands for so many sources of equal tokens, and the weight is that of each.
+    """
+    times = times or dict.fromkeys(tokens, 1)
+    total = sum(n * times[s] for s, n in tokens.items())
     powers = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()}
-    norm = math.fsum(powers.values())
+    norm = math.fsum(p * times[s] for s, p in powers.items())
     return {s: p / norm if norm else 0.0 for s, p in powers.items()}
 
 
-def entropy(w: dict) -> float:
-    return -math.fsum(p * math.log(p) for p in w.values() if p > 0)
+def entropy(w: dict, times: dict | None = None) -> float:
+    return -math.fsum((times[s] if times else 1) * p * math.log(p) for s, p in w.items() if p > 0)
 
 
 def repeats(tokens: dict, w: dict) -> dict:
@@ -43,14 +48,14 @@ def repeats(tokens: dict, w: dict) -> dict:
     return {s: per[s] / least if s in per else 1.0 for s in tokens}
 
 
-def find_exponent(tokens: dict, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, rounds: int = 60) -> float:
+def find_exponent(tokens: dict, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, rounds: int = 60, times: dict | None = None) -> float:
     """Bisect the exponent in [0, 1]: entropy falls and repetition falls as it grows.
 
     With ``target_entropy`` the largest exponent that reaches it (0 if none does); otherwise the
     smallest one whose largest repetition is within ``max_repeat``.
     """
     if target_entropy is not None:
-        good = lambda a: entropy(weights(tokens, a)) >= target_entropy
+        good = lambda a: entropy(weights(tokens, a, times), times) >= target_entropy
         if good(1.0):
             return 1.0
         lo, hi = 0.0, 1.0
@@ -58,7 +63,8 @@ def find_exponent(tokens: dict, max_repeat: float | None = MAX_REPEAT, target_en
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if good(mid) else (lo, mid)
         return lo
-    good = lambda a: max(repeats(tokens, weights(tokens, a)).values(), default=1.0) <= max_repeat
+    ends = {n: n for n in (min(tokens.values(), default=0), max(tokens.values(), default=0))}  # no other source repeats more or less
+    good = lambda a: max(repeats(ends, weights(ends, a)).values(), default=1.0) <= max_repeat
     if good(0.0):
         return 0.0
     lo, hi = 0.0, 1.0
@@ -68,52 +74,66 @@ def find_exponent(tokens: dict, max_repeat: float | None = MAX_REPEAT, target_en
     return hi
 
 
-def _planned(docs: DataFrame, max_repeat: float | None, target_entropy: float | None, seed: int, block_rows: int) -> DataFrame:
-    """``docs`` with ``_tokens, _passes, _block, _weight, _exponent`` and ``_copies`` of each row.
+def _sources(slim: DataFrame, max_repeat: float | None, target_entropy: float | None, block_rows: int) -> DataFrame:
+    """One row a source: its weight, full passes, the budget of the partial one, number of blocks, and rows.
+
+    The driver sees one row for each *size* that sources have; of these there are fewer than the root of twice the tokens.
+    """
+    sums = common.written(slim.groupBy("source").agg(F.sum("tokens").alias("size"), F.sum("rows").alias("in_source")), "mix-sources")
+    times = {r["size"]: r["n"] for r in sums.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    sizes = {n: n for n in times}
+    exponent = find_exponent(sizes, max_repeat, target_entropy, times=times)
+    w = weights(sizes, exponent, times)
+    rep = repeats(sizes, w)
+    whole = {n: int(r + 1e-9) for n, r in rep.items()}
+    table = [(n, w[n], whole[n], round(max(0.0, rep[n] - whole[n]) * n), exponent) for n in sorted(sizes)]
+    planned = slim.sparkSession.createDataFrame(table, "size long, weight double, passes int, rest long, exponent double")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("in_source") / block_rows)).cast("long")
+    return common.written(sums.join(common.small(planned, len(table)), "size").drop("size").withColumn("blocks", blocks), "mix-planned")
+
+
+def _planned(docs: DataFrame, carried: Column, max_repeat: float | None, target_entropy: float | None, seed: int, block_rows: int) -> DataFrame:
+    """Each row's ``carried`` with ``id, source, tokens, passes, block, weight, exponent`` and ``copies``.
 
     A row's block and its place in it follow from its id and text, so what is joined is one row a
-    source and one a block, both broadcast; no document is shuffled.
+    source and one a block; where these were counted to be few they are broadcast, and no document
+    is shuffled, else only rows of large sources and blocks stay where they are.
     """
-    spark = docs.sparkSession
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     # tokens are estimated at four characters each, one at least, so that every document has weight
-    rows = docs.withColumns(
-        {
-            "_tokens": F.greatest(F.lit(1), F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4)).cast("long"), "_source": source,
-            "_mark": F.xxhash64(F.lit(seed), text, F.col("doc_id").cast("long")), "_id": F.col("doc_id").cast("long"),
-        }
+    rows = docs.select(
+        carried.alias("carried"), F.greatest(F.lit(1), F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4)).cast("long").alias("tokens"), source.alias("source"),
+        F.xxhash64(F.lit(seed), text, F.col("doc_id").cast("long")).alias("mark"), F.col("doc_id").cast("long").alias("id"),
     )
     # equal rows are one, with all their tokens
-    slim = common.written(rows.groupBy("_source", "_mark", "_id").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-rows")
-    sums = slim.groupBy("_source").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).collect()  # one row a source
-    tokens = {r["_source"]: r["tokens"] for r in sums}
-    exponent = find_exponent(tokens, max_repeat, target_entropy)
-    w = weights(tokens, exponent)
-    rep = repeats(tokens, w)
-    whole = {s: int(r + 1e-9) for s, r in rep.items()}
-    table = [(r["_source"], w[s := r["_source"]], whole[s], round(max(0.0, rep[s] - whole[s]) * r["tokens"]), max(1, -(-r["rows"] // block_rows)), exponent) for r in sums]
-    sources = spark.createDataFrame(table, "_s string, _weight double, _passes int, _rest long, _blocks int, _exponent double")
-    placed = lambda df: df.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_block", F.pmod("_mark", "_blocks").cast("int"))
+    slim = common.written(rows.groupBy("source", "mark", "id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-rows")
+    total = slim.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    sources = _sources(slim, max_repeat, target_entropy, max(block_rows, total // BLOCKS))
+    n_sources = sources.count()
+    with_source = lambda df: common.join_groups(df, sources, ["source"], "in_source", n_sources, total).withColumn("block", F.pmod("mark", "blocks").cast("int"))
     # the partial pass: blocks in their permuted order up to the budget
-    keyed = placed(slim)
-    turn = F.xxhash64(F.lit(seed), F.col("_passes"), F.coalesce("_source", F.lit("")), "_block")
-    sizes = keyed.groupBy("_source", "_block", "_rest", "_passes").agg(F.sum("tokens").alias("size")).withColumn("turn", turn)
-    order = Window.partitionBy("_source").orderBy("turn", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))  # rows / block_rows of them
-    blocks = sizes.select(F.col("_source").alias("_bs"), F.col("_block").alias("_b"), F.col("before").alias("_before"), F.col("size").alias("_size"))
-    on_block = F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b"))
+    keyed = with_source(slim)
+    turn = F.xxhash64(F.lit(seed), F.col("passes"), F.coalesce("source", F.lit("")), "block")
+    blocks = keyed.groupBy("source", "block", "rest", "passes").agg(F.sum("tokens").alias("size"), F.sum("rows").alias("in_block")).withColumn("turn", turn)
+    order = Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).select("source", "block", "before", "size", "rest", "in_block")
+    blocks = common.written(blocks, "mix-blocks")  # BLOCKS of them at most, and one a source
+    n_blocks = blocks.count()
     # in the block that crosses the budget, the last row that fits
-    crossing = keyed.join(F.broadcast(blocks), on_block).where("_before < _rest and _before + _size > _rest")  # one block a source
-    upto = F.sum("tokens").over(Window.partitionBy("_source").orderBy("_mark", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fits = crossing.withColumn("upto", upto).where("_before + upto <= _rest")
-    cuts = fits.groupBy("_source").agg(F.max(F.struct("_mark", "_id")).alias("_cut")).select(F.col("_source").alias("_cs"), "_cut")
+    crossed = blocks.where("before < rest and before + size > rest").select("source", "block", F.col("before").alias("until"), F.col("in_block"))  # one block a source
+    at = common.join_groups(keyed.select("source", "block", "mark", "id", "tokens", "rest"), crossed, ["source", "block"], "in_block", n_sources, total).where("until is not null")
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("mark", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = at.withColumn("upto", upto).where("until + upto <= rest")
+    cuts = fits.groupBy("source").agg(F.max(F.struct("mark", "id")).alias("cut"))
+    places = common.written(blocks.drop("rest").join(cuts, blocks["source"].eqNullSafe(cuts["source"]), "left").select(blocks["source"], "block", "before", "size", "in_block", "cut"), "mix-places")
     extra = (
-        F.when(F.col("_before") + F.col("_size") <= F.col("_rest"), 1)
-        .when(F.col("_before") >= F.col("_rest"), 0)
-        .otherwise(F.coalesce((F.struct("_mark", "_id") <= F.col("_cut")).cast("int"), F.lit(0)))
+        F.when(F.col("before") + F.col("size") <= F.col("rest"), 1)
+        .when(F.col("before") >= F.col("rest"), 0)
+        .otherwise(F.coalesce((F.struct("mark", "id") <= F.col("cut")).cast("int"), F.lit(0)))
     )
-    out = placed(rows).join(F.broadcast(blocks), on_block).join(F.broadcast(cuts), F.col("_source").eqNullSafe(F.col("_cs")), "left")
-    return out.withColumn("_copies", F.greatest(F.lit(1), F.col("_passes") + extra))
+    out = common.join_groups(with_source(rows), places, ["source", "block"], "in_block", n_blocks, total)
+    common.discard(slim)
+    return out.withColumn("copies", F.greatest(F.lit(1), F.col("passes") + extra))
 
 
 def mixture(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -124,15 +144,14 @@ def mixture(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entro
     source are a source of their own, null and empty texts count as one token, null ids are kept.
     Repeated rows are documents of their own.  An empty table gives no rows.
     """
-    plan = _planned(docs, max_repeat, target_entropy, seed, block_rows)
-    copies = plan.withColumn("_pass", F.explode(F.expr("sequence(0, _copies - 1)")))
-    return copies.select(
-        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"),
-        F.xxhash64(F.lit(seed), F.col("_pass"), F.coalesce("_source", F.lit("")), "_block").alias("turn"), F.col("_weight").alias("weight"), F.col("_exponent").alias("exponent"),
-    )
+    plan = _planned(docs, F.lit(None), max_repeat, target_entropy, seed, block_rows)
+    copies = plan.withColumn("pass", F.explode(F.expr("sequence(0, copies - 1)")))
+    turn = F.xxhash64(F.lit(seed), F.col("pass"), F.coalesce("source", F.lit("")), "block")
+    return copies.select(F.col("id").alias("doc_id"), "source", "tokens", "pass", "block", turn.alias("turn"), "weight", "exponent")
 
 
 def mixed(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The documents with all their columns, each as often as the mix has it."""
-    plan = _planned(docs, max_repeat, target_entropy, seed, block_rows)
-    return plan.withColumn("_pass", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    """The documents with all their columns, whatever their names, each as often as the mix has it."""
+    plan = _planned(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), max_repeat, target_entropy, seed, block_rows)
+    plan = plan.withColumn("pass", F.explode(F.expr("sequence(1, copies)")))
+    return plan.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])
