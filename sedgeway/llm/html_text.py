@@ -5,7 +5,9 @@ of p, li, cells; unclosed and misnested tags).  Every paragraph passes points fo
 commas to its ancestors, fading with distance; an element's points are discounted by its link
 density.  The best container is kept, widened to the article or main element around it, with the
 siblings that score or read like it.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are known by tag, role and class or id.
+scripts, styles and reader comments are known by tag and role, and by class or id where these leave
+no doubt or the element's length and link density agree with them; never headings, and paragraphs
+only by an unmistakable class.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgeway.llm import common
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
@@ -37,12 +41,22 @@ _DROP = {
     "option", "textarea", "input", "menu", "dialog", "object", "embed", "audio", "video", "head", "title", "math", "map", "noframes", "applet", "datalist", "fieldset",
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "status", "tablist"}
-_BAD = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|adverts?|advertis\w*|adsense|adbox|adslot|dfp|sponsor\w*|promo\w*|banners?|side-?bars?|menus?|nav\w*|breadcrumbs?|footer\w*|foot|header\w*|masthead"
-    r"|comments?|comment\w*|disqus|respond|repl(?:y|ies)|discussion|notices?|cookies?\w*|consent|gdpr|pop-?ups?|modal|overlay|newsletters?|subscri\w*|sign-?up|login"
-    r"|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|widgets?|toolbar|pagination|pager|alerts?|disclaimer|copyright|outbrain|taboola|skip|hidden|warning|legal)(?:$|[-_\s])",
-    re.I,
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[-_\s])(?:{words})(?:$|[-_\s])", re.I)
+
+
+#: What a class or id says of a container: that it is an advert or has comments; that it is page furniture; that it may be,
+#: if what it holds bears that out, as articles have sections on related work and warnings too.
+_DECISIVE = _named(r"ads?|adv|adverts?|advertis\w*|adsense|adbox|adslot|dfp|sponsor\w*|outbrain|taboola|comments?|comment\w*|disqus|respond")
+_FURNITURE = _named(
+    r"promo\w*|banners?|side-?bars?|menus?|nav\w*|breadcrumbs?|footer\w*|masthead|cookies?\w*|consent|gdpr|pop-?ups?|modal|newsletters?|subscri\w*|sign-?up|login"
+    r"|share\w*|social\w*|widgets?|toolbar|pagination|pager|hidden"
 )
+_DOUBTFUL = _named(r"foot|header\w*|repl(?:y|ies)|discussion|notices?|overlay|sharing|related\w*|recommend\w*|alerts?|disclaimer|copyright|skip|warning|legal")
+#: Text of a doubtful element may be so long at most, if it has no heading and few links.
+SHORT = 200
+#: Share of a doubtful element's text in links from which it is a list of links.
+LINKED = 0.33
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
@@ -50,17 +64,32 @@ _CLOSES = {
 }
 _SCOPE = {"table", "td", "th", "body", "html", "article", "main", "section", "div", "li"}
 _START = {"div": 5, "article": 25, "main": 25, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5}
+#: Elements of running text, which an id only makes a target of links.
+_RUNNING = {"p", "pre", "blockquote", "li", "td", "th", "dt", "dd", "figure", "figcaption", "caption", "tr", "tbody", "thead", "code", "em", "strong"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TOP = {"html", "body", "#root"}
 #: Characters from which a block counts as a paragraph.
 PARAGRAPH = 25
 
 
+def _suspicion(name: str, key: str, value: str) -> str:
+    """What a class or id says against an element; the greater string is the stronger word."""
+    if name in ("article", "main"):
+        return "decisive" * (key == "class" and name == "article" and bool(re.search(r"comment|repl(?:y|ies)", value, re.I)))
+    if name in _RUNNING:
+        return "certain" * (key == "class" and bool(_DECISIVE.search(value) or _FURNITURE.search(value)))
+    if _DECISIVE.search(value):
+        return "decisive"
+    if _FURNITURE.search(value):
+        return "certain" if key == "class" else "by id"
+    return ("by class" if key == "class" else "an id") if _DOUBTFUL.search(value) else ""
+
+
 class _Page:
-    """Elements (parent, tag, dropped, looked-bad) and blocks (element, text, characters in links) in page order."""
+    """Elements (parent, tag, dropped, what class and id say) and blocks (element, text, characters in links) in page order."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.drop, self.bad = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.drop, self.bad = [-1], ["#root"], [False], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._parts, self._linked = [0], [], []
         self._read(page)
@@ -102,14 +131,12 @@ class _Page:
                 for _ in range(3):
                     self._pop_to(names, stop)
         top = self._stack[-1]
-        drop, bad = self.drop[top] or name in _DROP, False
+        drop, bad = self.drop[top] or name in _DROP, ""
         if attrs and not drop:
             for key, *values in _ATTR.findall(attrs):
                 key, value = key.lower(), "".join(values)
-                if key in ("class", "id") and name not in ("body", "html", "article", "main") and _BAD.search(value):
-                    bad = True
-                elif key == "class" and name == "article" and re.search(r"comment|repl(?:y|ies)", value, re.I):
-                    bad = True
+                if key in ("class", "id") and name not in _TOP and name not in _HEADINGS:
+                    bad = max(bad, _suspicion(name, key, value))
                 elif key == "role" and value.lower() in _ROLES or key == "aria-hidden" and value.lower() == "true" or key == "hidden":
                     drop = True
         if name in _VOID:
@@ -176,20 +203,36 @@ def main_text(page: str | None) -> str:
     if not p.blocks:
         return ""
     n = len(p.tag)
-    chars, links, has_article = [0] * n, [0] * n, [False] * n
+    chars, links, has_article, headed, inside = [0] * n, [0] * n, [False] * n, [False] * n, [False] * n
     for at, text, linked in p.blocks:
         for a in p.ancestors(at):
             chars[a] += len(text)
             links[a] += linked
+            headed[a] = headed[a] or p.tag[at] in _HEADINGS
     for k in range(n - 1, 0, -1):
         if p.tag[k] in ("article", "main") and not p.bad[k]:
             for a in p.ancestors(p.parent[k]):
                 has_article[a] = True
     total = sum(len(text) for _, text, _ in p.blocks)
+
+    def out(k: int) -> bool:
+        """Whether an element goes for its class or id, given where it stands and what it holds."""
+        word = p.bad[k]
+        # a wrapper that holds the article, or nearly all of the page, stays
+        if not word or has_article[k] or chars[k] >= (0.95 if word == "decisive" else 0.7) * total:
+            return False
+        if word in ("decisive", "certain") or word == "by id" and not inside[k]:
+            return True
+        if links[k] >= LINKED * chars[k]:
+            return True
+        if headed[k] or word == "an id" and inside[k]:
+            return False
+        return chars[k] < SHORT or word == "by class" and not inside[k]
+
     gone = [False] * n
     for k in range(1, n):
-        # a wrapper that holds the article, or nearly all of the page, isn't dropped for its class
-        gone[k] = gone[p.parent[k]] or p.drop[k] or (p.bad[k] and not has_article[k] and chars[k] < 0.7 * total)
+        inside[k] = inside[p.parent[k]] or p.tag[p.parent[k]] in ("article", "main")
+        gone[k] = gone[p.parent[k]] or p.drop[k] or out(k)
     live = [b for b in p.blocks if not gone[b[0]]]
     if not live:
         return ""
@@ -241,5 +284,5 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
-        run, "page_id long, url string, text string, n_chars long"
+        common.frugal(run), "page_id long, url string, text string, n_chars long"
     )
