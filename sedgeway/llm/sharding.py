@@ -16,60 +16,68 @@ from pyspark.sql.window import Window
 
 from sedgeway.llm import common
 
-BUCKETS = 1024
+#: Buckets of a node's histogram, and of all nodes' histograms together, in one round.
+BUCKETS, HISTOGRAM = 1 << 14, 1 << 22
 #: Rows that get their slot numbers in one task.
 SLOT_ROWS = 100_000
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A dimension as a long: numbers as they are, anything else by its first seven bytes; null lowest."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(-1))
-    if kind in ("float", "double") or kind.startswith("decimal"):
-        return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(-1))
-    head = F.hex(F.substring(F.encode(F.col(f"`{name}`").cast("string"), "UTF-8"), 1, 7))
-    return F.coalesce(F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long"), F.lit(-1))
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _ranks(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``value, many, rank`` of a dimension's values in their order, null first, and how many there are."""
+    column = F.col(f"`{name}`")
+    kind = dict(docs.dtypes)[name]
+    ordered = column if kind in ("string", "float", "double", "boolean", "date", "timestamp") or kind.startswith("decimal") else column.cast("string")
+    values = common.written(docs.groupBy(ordered.alias("value")).agg(F.count("*").alias("many")), "kd-values")
+    n = values.count()
+    if n <= common.BROADCAST_ROWS:
+        ranked = values.withColumn("rank", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    else:  # sorted by all tasks, each value numbered within its partition, and the partitions' sizes added up
+        placed = common.written(values.orderBy("value").withColumn("at", F.monotonically_increasing_id()), "kd-sorted").withColumn("p", F.shiftright("at", 33))
+        sizes = placed.groupBy("p").agg(F.count("*").alias("c"))  # a row a partition
+        before = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        ranked = placed.join(F.broadcast(before), "p").select("value", "many", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    return common.written(ranked, "kd-ranks"), n
 
 
 def _split_level(points: DataFrame, nodes: dict[int, tuple[int, int]], dims: list[str], root: dict[str, int], tolerance: float, shard_bytes: float):
     """One level of the tree: for each node of several leaves the dimension, its range and the split key."""
     spark = points.sparkSession
     live = {n: k for n, (_, k) in nodes.items() if k > 1}
-    stats = (
-        points.where(F.col("node").isin(list(live)))
-        .groupBy("node")
-        .agg(F.sum("w").alias("w"), *[f(d).alias(f"{name}_{d}") for d in dims for f, name in ((F.min, "lo"), (F.max, "hi"))])
-        .collect()  # one row per node that is split
-    )
+    stats = points.groupBy("node").agg(F.sum("w").alias("w"), *[f(d).alias(f"{name}_{d}") for d in dims for f, name in ((F.min, "lo"), (F.max, "hi"))]).collect()  # one row a node
     splits = {}
     for r in stats:
+        if r["node"] not in live:
+            continue
         dim = max(dims, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, root[d]), -dims.index(d)))
         lo, span = r[f"lo_{dim}"], r[f"hi_{dim}"] - r[f"lo_{dim}"] + 1
         splits[r["node"]] = {"dim": dims.index(dim), "lo": lo, "span": float(span), "goal": r["w"] * (live[r["node"]] // 2) / live[r["node"]]}
     if not splits:
         return None
+    buckets = min(BUCKETS, max(64, HISTOGRAM // len(splits)))
     plan = spark.createDataFrame([(n, s["dim"], s["lo"], s["span"]) for n, s in splits.items()], "node int, dim int, lo long, span double")
     value = F.element_at(F.array(*dims), F.col("dim") + 1)
     scaled = F.least(F.floor((value - F.col("lo")).cast("double") / F.col("span") * (1 << 30)), F.lit((1 << 30) - 1))
     key = F.shiftleft(scaled.cast("long"), 33).bitwiseOR(F.shiftrightunsigned(F.col("gh"), 31))
     keyed = common.written(
-        points.join(F.broadcast(plan), "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), key)).drop("dim", "lo", "span"),
+        points.join(common.small(plan, len(splits)), "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), key)).drop("dim", "lo", "span"),
         "kd-level",
     )
     search = {n: (0, (1 << 63) - 1, 0.0) for n in splits}  # range of keys, weight below it
     cuts: dict[int, int] = {}
     while search:
         ranges = spark.createDataFrame(
-            [(n, lo, max(1, -(-(hi - lo + 1) // BUCKETS)), hi, below, float(splits[n]["goal"])) for n, (lo, hi, below) in search.items()],
+            [(n, lo, max(1, -(-(hi - lo + 1) // buckets)), hi, below, float(splits[n]["goal"])) for n, (lo, hi, below) in search.items()],
             "node int, lo long, width long, hi long, below double, goal double",
         )
         hist = (
-            keyed.where("key is not null").join(F.broadcast(ranges), "node").where("key between lo and hi")
+            keyed.where("key is not null").join(common.small(ranges, len(search)), "node").where("key between lo and hi")
             .groupBy("node", F.expr("(key - lo) div width").alias("bucket"))
             .agg(F.sum("w").alias("w"), F.min("key").alias("first"), F.max("key").alias("last"), F.first("below").alias("below"), F.first("goal").alias("goal"))
         )
-        run = F.sum("w").over(Window.partitionBy("node").orderBy("bucket"))  # at most BUCKETS rows a node
+        run = F.sum("w").over(Window.partitionBy("node").orderBy("bucket"))  # at most ``buckets`` rows a node
         rank = F.row_number().over(Window.partitionBy("node").orderBy("bucket"))
         found = (
             hist.withColumn("upto", F.col("below") + run).where("upto >= goal").withColumn("r", rank).where("r = 1").collect()  # one row a node
@@ -99,17 +107,24 @@ def kd_shards(docs: DataFrame, dims: list[str] | None = None, shards: int | None
     """
     dims = [d for d in ("lang", "source") if d in docs.columns] if dims is None else dims
     names = [f"d{i}" for i in range(len(dims) + 1)]
+    kinds = dict(docs.dtypes)
     text = F.col("text").cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    base = common.written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"),
-            F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.xxhash64(F.coalesce(text, F.lit(""))).alias("gh"),
-            *[_ordinal(docs, d).alias(n) for d, n in zip(dims, names, strict=False)],
-        ).withColumn(names[-1], F.col("size")).withColumn("rid", F.monotonically_increasing_id()),
-        "kd-rows",
-    )
+    given = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"),
+        F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("gh"),
+        *[(F.coalesce(F.col(f"`{d}`").cast("long"), F.lit(-1)) if kinds[d] in _WHOLE else F.col(f"`{d}`").cast(kinds[d] if kinds[d] != "binary" else "string")).alias(n) for d, n in zip(dims, names, strict=False)],
+    ).withColumn(names[-1], F.col("size")).withColumn("rid", F.monotonically_increasing_id())
+    base = read = common.written(given, "kd-rows")
+    n_rows = base.count()
+    for d, n in zip(dims, names, strict=False):
+        if kinds[d] not in _WHOLE:  # a value counts by its rank among the values
+            ranked, many = _ranks(base, n)
+            base = common.join_groups(base, ranked.withColumnRenamed("value", n), [n], "many", many, n_rows).drop(n).withColumnRenamed("rank", n)
+    if base is not read:
+        base = common.written(base, "kd-rows")
+        common.discard(read)
     total = base.agg(F.count("*").alias("n"), F.sum("size").alias("w")).first()
     if not shards:
         shards = max(1, -(-(total["w"] or 0) // target_bytes))
@@ -139,13 +154,13 @@ def kd_shards(docs: DataFrame, dims: list[str] | None = None, shards: int | None
                 after[n] = (first, 1)
         moves = docs.sparkSession.createDataFrame(rows, "node int, cut long, l int, r int")
         to = F.when(F.col("cut").isNull(), F.col("node")).when(F.col("key") <= F.col("cut"), F.col("l")).otherwise(F.col("r"))
-        new = common.written(keyed.join(F.broadcast(moves), "node", "left").withColumn("node", to).drop("key", "cut", "l", "r"), "kd-points")
+        new = common.written(keyed.join(common.small(moves, len(rows)), "node", "left").withColumn("node", to).drop("key", "cut", "l", "r"), "kd-points")
         common.discard(points, keyed)
         points, nodes = new, after
     leaf = docs.sparkSession.createDataFrame([(n, first) for n, (first, _) in nodes.items()], "node int, shard int")
-    placed = points.join(F.broadcast(leaf), "node").select("gh", "size", "rows", "shard")
+    placed = points.join(common.small(leaf, len(nodes)), "node").select("gh", "size", "rows", "shard")
     rows = common.join_groups(base.select("doc_id", "size", "text_crc32", "gh", "rid"), placed, ["gh", "size"], "rows", ends["n"], total["n"])
-    buckets = max(1, total["n"] // (SLOT_ROWS * shards))
+    buckets = max(1, total["n"] // (SLOT_ROWS * shards))  # of a shard's rows, for their slots
     rows = common.written(rows.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int")).drop("gh"), "kd-placed")
     counts = rows.groupBy("shard", "b").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -153,7 +168,7 @@ def kd_shards(docs: DataFrame, dims: list[str] | None = None, shards: int | None
     rank = F.row_number().over(Window.partitionBy("shard", "b").orderBy("doc_id", "rid"))
     common.discard(base, points)
     return (
-        rows.withColumn("r", rank).join(F.broadcast(offsets), ["shard", "b"])
+        rows.withColumn("r", rank).join(common.small(offsets, buckets * shards), ["shard", "b"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
             (F.col("off") + F.col("r") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -139,6 +139,26 @@ def test_sharding_balance(spark):
     assert got.where("size = 201").select("shard").distinct().count() == 1
 
 
+def test_sharding_by_values_of_one_prefix(spark, monkeypatch):
+    """Sources that differ only far behind, and fractions, are split by their order; many values are ranked by all tasks."""
+    rows = [(i, f"text {i:05d}", "en", f"https://host.example/{i % 50:03d}", (i * 7919 % 1000) / 1000) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double").repartition(3)
+    of = {r[0]: r for r in rows}
+    one = None
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        for dim, at in (("source", 3), ("score", 4)):
+            got = sharding.kd_shards(docs.withColumn("size", F.lit(1)), dims=[dim], shards=4).collect()
+            spans = defaultdict(list)
+            for x in got:
+                spans[x["shard"]].append(of[x["doc_id"]][at])
+            ends = sorted((min(v), max(v)) for v in spans.values())
+            assert len(ends) == 4 and sum(a[1] > b[0] for a, b in zip(ends, ends[1:], strict=False)) == 0
+        if one is None:
+            one = sorted(map(tuple, got))
+    assert one == sorted(map(tuple, got))
+
+
 # == 2 line dedup ==
 
 
