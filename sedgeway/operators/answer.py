@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +36,14 @@ def rewrite(question: Column, turns: Column) -> Column:
     return F.when(F.coalesce(F.size(turns), F.lit(0)) <= 0, question).when(F.size(carried) == 0, question).otherwise(F.concat_ws(" ", question, F.array_join(carried, " ")))
 
 
+def rewrite_with(question: Column, turns: Column, model: Callable[[pd.Series, pd.Series], pd.Series]) -> Column:
+    """The seam for a model: ``model(questions, transcripts)`` per Arrow batch; without a history, or on a blank reply, the question stays."""
+    lines = F.transform(turns, lambda t: F.concat(F.lit("User: "), F.coalesce(t["question"], F.lit("")), F.lit("\nAssistant: "), F.coalesce(t["answer"], F.lit(""))))
+    said = F.trim(F.pandas_udf(model, "string")(question, F.array_join(lines, "\n")))
+    none = (F.coalesce(F.size(turns), F.lit(0)) <= 0) | (F.coalesce(said, F.lit("")) == "")
+    return F.when(none, question).otherwise(said)
+
+
 def context(ranked: DataFrame) -> DataFrame:
     """One row a query: ``sources``, an array of ``struct<marker, chunk_id, document_id, page, text>`` in place order."""
     one = F.struct("marker", "chunk_id", "document_id", "page", "text")
@@ -97,3 +108,13 @@ def events(answers: DataFrame) -> DataFrame:
     every = together([words, cites, usage, done])
     seq = F.row_number().over(Window.partitionBy("query_id").orderBy("phase", "i")) - 1
     return every.select("query_id", seq.alias("seq"), "kind", "payload")
+
+
+def streamed(prompt: str, model: Callable[[str], Iterator[str]]) -> Iterator[tuple[str, str]]:
+    """The seam for a model that streams, on the driver and for one question: ``("token", part)`` for each part that isn't empty, then ``("complete", whole)``."""
+    parts = []
+    for part in model(prompt):
+        if part:
+            parts.append(part)
+            yield "token", part
+    yield "complete", "".join(parts).strip()

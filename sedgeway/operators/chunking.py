@@ -170,24 +170,26 @@ def chunk_page(markdown: str, size: int, overlap: int, count: Callable[[str], in
     return out
 
 
-def markdown_chunks(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+def markdown_chunks(pages: DataFrame, size: int = 512, overlap: int = 64, cut: Callable[[str, int, int], list] | None = None) -> DataFrame:
     """Heading-aware chunks of ``pages(document_id, page, text)``; ordinals run on over pages.
 
     Pages are cut independently in Arrow batches; only the numbering looks at a whole document.
+    ``cut(text, size, overlap)`` is the seam for another chunker: (heading path, chunk) of one page.
     """
+    cut = cut or chunk_page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
                 (doc, int(page), k, body, path)
                 for doc, page, text in zip(batch["document_id"], batch["page"], batch["text"], strict=True)
-                for k, (path, body) in enumerate(chunk_page(text or "", size, overlap))
+                for k, (path, body) in enumerate(cut(text or "", size, overlap))
             ]
             yield pd.DataFrame(rows, columns=["document_id", "page", "k", "text", "headings"])
 
-    cut = pages.select("document_id", "page", "text").mapInPandas(run, "document_id string, page int, k int, text string, headings array<string>")
+    pieces = pages.select("document_id", "page", "text").mapInPandas(run, "document_id string, page int, k int, text string, headings array<string>")
     numbered = Window.partitionBy("document_id").orderBy("page", "k")
-    out = cut.withColumn("ordinal", (F.row_number().over(numbered) - 1).cast("int"))
+    out = pieces.withColumn("ordinal", (F.row_number().over(numbered) - 1).cast("int"))
     return out.withColumn("chunk_id", F.concat_ws(":", "document_id", F.col("ordinal").cast("string"))).select(
         "document_id", "chunk_id", "page", "ordinal", "text", "headings"
     )

@@ -44,7 +44,8 @@ def paragraphs(text: str) -> list[str]:
 
 
 def sentences(text: str) -> list[str]:
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    """Sentences end at their mark or with their line."""
+    return [s.strip() for s in re.split(r"\n+|(?<=[.!?])\s+", text) if s.strip()]
 
 
 def _near(pieces: list[str], glue: str, budget: int, tail: bool, count: Callable[[str], int]) -> str:
@@ -94,3 +95,9 @@ def heading_window(source: Column, headings: Column, text: Column, full_text: Co
         return pd.Series([situate(f or "", c or "", h or "", window, max_context_tokens) for f, c, h in zip(full, chunk, head, strict=True)])
 
     return run(full_text, text, header)
+
+
+def contextualized(text: Column, full_text: Column, model: Callable[[pd.Series, pd.Series], pd.Series]) -> Column:
+    """The seam for a model: ``model(documents, chunks)`` per Arrow batch says what goes before each chunk; a blank reply is none."""
+    said = F.trim(F.pandas_udf(model, "string")(full_text, text))
+    return F.when(F.coalesce(said, F.lit("")) == "", text).otherwise(F.concat(said, F.lit("\n\n"), text))

@@ -106,7 +106,7 @@ def cells(line: list[dict]) -> list[str]:
 
 def table_runs(lines: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs [a, b) of two or more lines with the same number of cells, two at least."""
-    counts = [len(cells(x["words"])) for x in lines]
+    counts = [0 if "table" in x else len(cells(x["words"])) for x in lines]
     runs, a = [], 0
     while a < len(counts):
         b = a + 1
@@ -128,26 +128,69 @@ def table_markdown(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])])
 
 
-def page_markdown(words: list[dict], width: float) -> str:
-    """Columns left to right; in each, headings, tables and wrapped paragraphs from top to bottom."""
+def _apart(values: list[float], least: float = 3.0) -> list[float]:
+    """Sorted values without those nearer than ``least`` to the one before."""
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] >= least:
+            out.append(v)
+    return out
+
+
+def ruled_tables(words: list[dict], rules: list[tuple]) -> list[tuple[tuple, str]]:
+    """(box, pipe table) of every grid of crossing rules ``x0, top, x1, bottom`` with two rows and two columns or more."""
+    lines = [r for r in rules if max(r[2] - r[0], r[3] - r[1]) >= 8]
+    groups: list[list[tuple]] = []
+    for r in lines:
+        near = [g for g in groups if any(r[0] <= o[2] + 3 and o[0] <= r[2] + 3 and r[1] <= o[3] + 3 and o[1] <= r[3] + 3 for o in g)]
+        groups = [g for g in groups if not any(g is n for n in near)] + [[r, *(o for n in near for o in n)]]
+    out = []
+    for g in groups:
+        ys = _apart([(r[1] + r[3]) / 2 for r in g if r[2] - r[0] > r[3] - r[1]])
+        xs = _apart([(r[0] + r[2]) / 2 for r in g if r[3] - r[1] > r[2] - r[0]])
+        if len(xs) < 3 or len(ys) < 3:
+            continue
+        rows = [[[] for _ in xs[1:]] for _ in ys[1:]]
+        for w in words:
+            x, y = (w["x0"] + w["x1"]) / 2, (w["top"] + w["bottom"]) / 2
+            if xs[0] <= x < xs[-1] and ys[0] <= y < ys[-1]:
+                rows[sum(y >= v for v in ys) - 1][sum(x >= v for v in xs) - 1].append(w)
+        text = table_markdown([[" ".join(w["text"] for line in group_lines(c) for w in line) for c in r] for r in rows])
+        if text:
+            out.append(((xs[0], ys[0], xs[-1], ys[-1]), text))
+    return sorted(out)
+
+
+def page_markdown(words: list[dict], width: float, tables: list[tuple[tuple, str]] | None = None) -> str:
+    """Columns left to right; in each, headings, tables and wrapped paragraphs from top to bottom.
+
+    ``tables`` are those known by their rules; what lies in their boxes isn't read again.
+    """
+    for x0, top, x1, bottom in (box for box, _ in tables or []):
+        words = [w for w in words if not (x0 <= (w["x0"] + w["x1"]) / 2 <= x1 and top <= (w["top"] + w["bottom"]) / 2 <= bottom)]
     body = body_size(words)
-    columns = []
-    for a, b in column_bands(words, width):
-        mine = [w for w in words if a <= (w["x0"] + w["x1"]) / 2 <= b]
-        columns.append([features(x) for x in group_lines(mine)])
-    sizes = sorted({x["size"] for c in columns for x in c if is_heading(x, body)}, reverse=True)
+    columns, bands = [], column_bands(words, width) or [(0.0, width)]
+    for n, (a, b) in enumerate(bands):
+        mine = [features(x) for x in group_lines([w for w in words if a <= (w["x0"] + w["x1"]) / 2 <= b])]
+        for box, text in tables or []:
+            middle = (box[0] + box[2]) / 2
+            if n == max(0, sum(middle >= edge for edge, _ in bands) - 1):
+                mine.append({"table": text, "top": box[1]})
+        columns.append(sorted(mine, key=lambda x: x["top"]))
+    sizes = sorted({x["size"] for c in columns for x in c if "table" not in x and is_heading(x, body)}, reverse=True)
     out: list[str] = []
     for lines in columns:
         runs = {a: b for a, b in table_runs(lines)}
         k, para = 0, []
         while k < len(lines):
             line = lines[k]
-            table = table_markdown([cells(x["words"]) for x in lines[k : runs[k]]]) if k in runs else ""
+            ruled = line.get("table", "")
+            table = ruled or (table_markdown([cells(x["words"]) for x in lines[k : runs[k]]]) if k in runs else "")
             if table or is_heading(line, body):
                 out.append(" ".join(para))
                 para = []
                 out.append(table or f"{'#' * heading_level(line, sizes)} {line['text']}")
-                k = runs[k] if table else k + 1
+                k = runs[k] if table and not ruled else k + 1
             else:
                 para.append(line["text"])
                 k += 1

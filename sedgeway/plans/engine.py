@@ -1,20 +1,25 @@
-"""The engine: ingest sources into a scope, and answer whole batches of questions as one lazy plan."""
+"""The engine: ingest sources into a scope, and answer whole batches of questions.
+
+Answers are a lazy plan; what is gathered while it is built are the batch's tokens and vectors, counted first.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeway.config import IngestionConfig, QueryOptions, Scope, WarehouseConfig
 from sedgeway.functions import smalltalk
+from sedgeway.functions import text as T
 from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, retrieval
 from sedgeway.operators.store import CHUNKS, Store
-from sedgeway.sources import files, parsers
+from sedgeway.sources import files, parsers, shared
 
 MODEL = "hashing-blake2b"
+PARSED = "content_hash string, format string, page int, text string"
 
 
 @dataclass(frozen=True)
@@ -23,9 +28,15 @@ class Seams:
 
     embedder: Callable[[list[str]], list] | None = None
     reranker: Callable | None = None
+    rewriter: Callable | None = None
+    contextualizer: Callable | None = None
+    chunker: Callable[[str, int, int], list] | None = None
+    classifier: Callable[[DataFrame], Column] | None = None
     transcriber: Callable[[bytes], str] | None = None
     parsers: dict[str, Callable[[bytes], list[str]]] = field(default_factory=dict)
     embedding_model: str = MODEL
+    #: Names the parsers and the contextualizer in the caches; another name reads and writes other entries.
+    version: str = "1"
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, options: QueryOptions | None = None, channels: list[DataFrame] | None = None, reranker: Callable | None = None) -> DataFrame:
@@ -63,15 +74,28 @@ def answered(questions: DataFrame, context_rows: DataFrame, generate: Callable |
     return rows.select("query_id", "question", "text", "outcome", (F.col("outcome") == "answered").alias("grounded"), "sources")
 
 
-def trace(questions: DataFrame, context_rows: DataFrame, answers: DataFrame, tenant: str) -> DataFrame:
-    """Spans of each question, ``tenant, query_id, seq, name, detail``: rewrite, retrieve, rerank, prompt, generate, or converse."""
-    kept = context_rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("kept"))
+def trace(questions: DataFrame, context_rows: DataFrame, answers: DataFrame, tenant: str, candidates: DataFrame | None = None) -> DataFrame:
+    """Spans of each question, ``tenant, query_id, seq, name, detail``: rewrite, retrieve, rerank, prompt, generate, or converse.
+
+    detail is JSON: ids found, kept and dropped, what reached the prompt, and the numbers of the answer.
+    ``candidates(query_id, chunk_id)`` are what retrieval found, by default what the context has.
+    """
+    ids = lambda rows, name: rows.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias(name))  # noqa: E731  retrieve_k at most
+    kept = context_rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("marker", "chunk_id"))), lambda x: x["chunk_id"]).alias("placed"))
+    found = ids(candidates if candidates is not None else context_rows, "found")
     talk = smalltalk.is_small_talk(F.col("message") if "message" in questions.columns else F.col("question"))
-    rows = questions.withColumn("talk", talk).join(kept, "query_id", "left").join(answers.select("query_id", "outcome"), "query_id")
-    span = lambda n, name, detail: F.struct(F.lit(n).alias("seq"), F.lit(name).alias("name"), detail.alias("detail"))
-    none = F.lit(None).cast("string")
-    full = F.array(span(0, "rewrite", F.col("question")), span(1, "retrieve", none), span(2, "rerank", F.col("kept")), span(3, "prompt", none), span(4, "generate", F.col("outcome")))
-    return rows.select(F.lit(tenant).alias("tenant"), "query_id", F.explode(F.when(F.col("talk"), F.array(span(0, "converse", F.col("outcome")))).otherwise(full)).alias("s")).select("tenant", "query_id", "s.*")
+    told = answers.select("query_id", "outcome", "text", F.size(T.words(F.col("text"))).alias("tokens"), "grounded")
+    rows = questions.withColumn("talk", talk).join(kept, "query_id", "left").join(found, "query_id", "left").join(told, "query_id")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("placed", "found")})
+    cited = F.when(F.col("grounded"), F.size(F.filter(answer.marked(F.col("text")), lambda m: (m >= 1) & (m <= F.size("placed"))))).otherwise(0)
+    span = lambda n, name, **detail: F.struct(F.lit(n).alias("seq"), F.lit(name).alias("name"), F.to_json(F.struct(*[v.alias(k) for k, v in detail.items()])).alias("detail"))
+    last = lambda n, name: span(n, name, outcome=F.col("outcome"), tokens=F.col("tokens"), grounded=F.col("grounded"), citations=cited)
+    full = F.array(
+        span(0, "rewrite", question=F.col("question")), span(1, "retrieve", candidates=F.size("found"), ids=F.col("found")),
+        span(2, "rerank", kept=F.size("placed"), ids=F.array_sort("placed"), dropped=F.array_except("found", "placed")), span(3, "prompt", sources=F.size("placed"), ids=F.col("placed")), last(4, "generate"),
+    )
+    return rows.select(F.lit(tenant).alias("tenant"), "query_id", F.explode(F.when(F.col("talk"), F.array(last(0, "converse"))).otherwise(full)).alias("s")).select("tenant", "query_id", "s.*")
 
 
 class Engine:
@@ -95,29 +119,58 @@ class Engine:
         every = files.identify(sources.withColumn("namespace", F.lit(scope.namespace)))
         stored = self.store.read("documents", Scope(scope.namespace))
         fresh = files.new_sources(every, stored).withColumn("format", files.route(F.col("source"), F.col("media_type"), F.col("content")))
-        pages = parsers.parse(fresh, self.seams.parsers)
+        read = self._staged("pages", self._pages(fresh))  # parsed once, read by chunks, counts and errors
+        about = self._staged("sources", fresh.select("namespace", "document_id", "source", "content_hash", F.col("ingest_seq").cast("long").alias("ingest_seq")))
+        ok = about.join(read.where("error is not null").select("document_id"), "document_id", "left_anti").select(about.columns)
+        rows = self._chunks(about, read)
+        staged = self._staged("chunks", rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]))
+        result = self._staged("results", self._results(every, about, read, staged))
+        self.store.upsert(scope, ok, staged)
+        shared.discard(read, about, staged)
+        return result
+
+    def _pages(self, fresh: DataFrame) -> DataFrame:
+        """Pages of new sources, ``document_id, page, route, text, error``: from the parse cache, else parsed, else transcribed."""
         image = F.lower("source").rlike(r"\.(png|jpe?g|gif|webp|tiff?|bmp)$") | F.coalesce(F.lower("media_type").startswith("image/"), F.lit(False))
         scans = fresh.where(image).select("document_id", F.lit(1).alias("page"), F.lit("vision").alias("route"), F.col("source").alias("image_ref"), F.col("content").alias("image_data"), F.lit("").alias("text"), F.lit(None).cast("string").alias("error"))
-        typed = pages.join(fresh.where(image).select("document_id"), "document_id", "left_anti").select(
+        typed = self.cached(fresh.where(~image)).select(
             "document_id", "page", F.lit("text").alias("route"), F.lit(None).cast("string").alias("image_ref"), F.lit(None).cast("binary").alias("image_data"), "text", "error"
         )
-        read = layout.transcribed(typed.unionByName(scans), self.seams.transcriber)
-        chunks = chunking.markdown_chunks(read.where("error is null"), self.ingestion.chunk_size, self.ingestion.chunk_overlap)
-        chunks = chunks.join(fresh.select("document_id", "source", "namespace"), "document_id")
+        pages = typed.unionByName(scans)
+        if self.seams.classifier is not None:
+            pages = pages.withColumn("route", self.seams.classifier(pages))
+        return layout.transcribed(pages, self.seams.transcriber).select("document_id", "page", "route", "text", "error")
+
+    def cached(self, fresh: DataFrame) -> DataFrame:
+        """``document_id, page, text, error`` of sources, parsed only where the cache has no pages of the same content, format and parsers.
+
+        The cache is shared by namespaces, as equal content has equal pages; what couldn't be read isn't kept.
+        """
+        path = f"{self.config.path.rstrip('/')}/_parsed/version={self.seams.version}"
+        key = ["content_hash", "format"]
+        held = self.spark.read.schema(PARSED).parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], PARSED)
+        new = fresh.join(held.select(*key).distinct(), key, "left_anti")
+        pages = self._staged("parsed", parsers.parse(new, self.seams.parsers).join(fresh.select("document_id", *key), "document_id"))
+        known = held.join(fresh.select("document_id", *key), key).select("document_id", "page", "text", F.lit(None).cast("string").alias("error"))
+        known = self._staged("known", known)
+        good = pages.join(pages.where("error is not null").select("document_id").distinct(), "document_id", "left_anti")
+        good.select(*key, "page", "text").distinct().write.mode("append").parquet(path)
+        return pages.select("document_id", "page", "text", "error").unionByName(known)
+
+    def _chunks(self, about: DataFrame, read: DataFrame) -> DataFrame:
+        chunks = chunking.markdown_chunks(read.where("error is null"), self.ingestion.chunk_size, self.ingestion.chunk_overlap, self.seams.chunker)
+        chunks = chunks.join(about.select("document_id", "source", "namespace"), "document_id")
         to_embed = F.col("text")
         if self.ingestion.contextualize:
             full = read.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("full_text"))
             chunks = chunks.join(full, "document_id")
-            to_embed = context.heading_window(F.col("source"), F.col("headings"), F.col("text"), F.col("full_text"))
+            if self.seams.contextualizer is not None:
+                to_embed = context.contextualized(F.col("text"), F.col("full_text"), self.seams.contextualizer)
+            else:
+                to_embed = context.heading_window(F.col("source"), F.col("headings"), F.col("text"), F.col("full_text"))
         rows = chunks.withColumn("embed_text", to_embed)
         rows = rows.withColumn("embedding", embedding.embed(F.col("embed_text"), self.config.embedding_width, self.seams.embedder))
-        rows = rows.withColumn("embedding_model", F.lit(self.seams.embedding_model)).withColumn("metadata", F.create_map().cast("map<string,string>"))
-        documents = fresh.select("namespace", "document_id", "source", "content_hash", F.col("ingest_seq").cast("long").alias("ingest_seq"))
-        ok = documents.join(read.where("error is not null").select("document_id"), "document_id", "left_anti").select(documents.columns)
-        staged_docs, staged_chunks = self._staged("documents", ok), self._staged("chunks", rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]))
-        result = self._staged("results", self._results(every, fresh, read, staged_chunks))
-        self.store.upsert(scope, staged_docs, staged_chunks)
-        return result
+        return rows.withColumn("embedding_model", F.lit(self.seams.embedding_model)).withColumn("metadata", F.create_map().cast("map<string,string>"))
 
     def _results(self, every: DataFrame, fresh: DataFrame, read: DataFrame, chunks: DataFrame) -> DataFrame:
         counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
@@ -132,12 +185,11 @@ class Engine:
         return rows.select("source", "document_id", zero("chunk_count"), zero("text_pages"), zero("vision_pages"), (~new).alias("deduplicated"), F.when(new, F.col("error")).alias("error"))
 
     def _staged(self, name: str, rows: DataFrame) -> DataFrame:
-        """Each row is made once, though it is checked and then written."""
+        """Each row is made once, though it is checked and then written; what is left goes with the driver."""
         import uuid
 
         path = f"{self.config.path.rstrip('/')}/_staged/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return shared.written_to(rows, path)
 
     def ask(self, scope: Scope, questions: DataFrame, rewrite: bool = False, generate: Callable | None = None) -> DataFrame:
         """Answer ``questions(query_id, question[, history])``; see :func:`answered`.
@@ -146,7 +198,8 @@ class Engine:
         """
         q = questions.withColumn("message", F.col("question"))
         if rewrite and "history" in questions.columns:
-            q = q.withColumn("question", answer.rewrite(F.col("question"), F.col("history")))
+            model = self.seams.rewriter
+            q = q.withColumn("question", answer.rewrite_with(F.col("question"), F.col("history"), model) if model else answer.rewrite(F.col("question"), F.col("history")))
         q = q.select("query_id", "question", "message")
         chunks = self.store.read("chunks", scope)
         asked = q.where(~smalltalk.is_small_talk(F.col("message")))
@@ -168,6 +221,16 @@ class Engine:
         cases = examples.join(answers.drop("question"), "query_id").join(cited, "query_id", "left").join(wanted, "query_id", "left")
         return evaluate.score(cases.withColumn("relevant", F.coalesce("relevant", none)).withColumn("cited", F.coalesce("cited", none)))
 
+    def stream(self, scope: Scope, question: str, model: Callable[[str], Iterator[str]]) -> Iterator[tuple[str, str]]:
+        """One question answered by a model that streams: tokens as they come, and the whole at last; not found without a source."""
+        q = self.spark.createDataFrame([(1, question)], "query_id long, question string")
+        rows = answer.context(self.context(q, self.store.read("chunks", scope)))
+        made = rows.select(answer.prompt(F.lit(question), F.col("sources")).alias("p")).first()
+        if made is None:
+            yield "complete", answer.NOT_FOUND
+            return
+        yield from answer.streamed(made["p"], model)
+
     def delete_document(self, scope: Scope, document_id: str) -> None:
         self.store.delete_document(scope, document_id)
 

@@ -7,15 +7,18 @@ by 100 as queries, against all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sedgeway.config import Scope, WarehouseConfig
 from sedgeway.functions import smalltalk
 from sedgeway.functions import text as T
-from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, retrieval, store
+from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, pdf_geometry, retrieval, store
 from sedgeway.plans.engine import answered, retrieve, trace
 from sedgeway.sources import files, parsers, shared
 
@@ -167,13 +170,11 @@ def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("document_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("copies")).drop("h")
 
 
-@query("""SELECT d.doc_id, coalesce(d.source = 'src0' OR sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE source = 'src0'), false) AS is_stored FROM documents d""")
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(coalesce(text, '')) HAVING count(*) FILTER (source = 'src0') = 0")
 def dedup_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every document against those of one source as the stored ones."""
-    docs = _docs(spark, d).withColumn("h", F.sha2("text", 256))
-    stored = docs.where("source = 'src0'").select("h").distinct()
-    new = docs.join(stored, "h", "left_anti").select("doc_id", F.lit(False).alias("is_stored"))
-    return new.unionByName(docs.join(stored, "h", "left_semi").select("doc_id", F.lit(True).alias("is_stored")))
+    """What an ingest of every document finds new where those of one source are stored."""
+    every = files.identify(_docs(spark, d).select("doc_id", "source", F.lit("ns").alias("namespace"), F.col("doc_id").alias("ingest_seq"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")))
+    return files.new_sources(every, every.where("source = 'src0'")).select("doc_id")
 
 
 @query(r"""
@@ -273,7 +274,27 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "source", text.alias("text"))
 
 
-@query()
+_LEVELS = ", ".join(
+    f"last_value(CASE WHEN level = {h} THEN title WHEN level > 0 AND level < {h} THEN '' END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h{h}" for h in range(1, 7)
+)
+
+
+@query(rf"""
+    WITH lines AS (
+        SELECT doc_id::VARCHAR AS document_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS n
+        FROM (SELECT doc_id, regexp_replace({_MARKDOWN}, '\r\n?', chr(10), 'g') AS md FROM documents WHERE text IS NOT NULL)
+    ),
+    levelled AS (
+        SELECT *, length(regexp_extract(line, '^(#{{1,6}})[ \t]+\S', 1)) AS level, trim(regexp_replace(line, '^#{{1,6}}[ \t]+|[ \t]+#*[ \t]*$', '', 'g')) AS title FROM lines
+    ),
+    numbered AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY document_id ORDER BY n) AS section, {_LEVELS} FROM levelled),
+    found AS (
+        SELECT document_id, section::BIGINT AS section,
+               array_to_string(list_filter(any_value([coalesce(h1, ''), coalesce(h2, ''), coalesce(h3, ''), coalesce(h4, ''), coalesce(h5, ''), coalesce(h6, '')]), lambda t: t <> ''), ' > ') AS path,
+               regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), '^\s+|\s+$', '', 'g') AS body
+        FROM numbered GROUP BY 1, 2
+    )
+    SELECT document_id, section, path, length(body)::INT AS n_chars FROM found WHERE body <> ''""")
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.heading_sections(_markdown(spark, d)).select("document_id", "section", F.array_join("path", " > ").alias("path"), F.length("body").alias("n_chars"))
 
@@ -481,10 +502,28 @@ def answer_events(spark: SparkSession, d: str) -> DataFrame:
     return answer.events(_answers(spark, d))
 
 
-@query()
+@query(f"""WITH {_ANSWERS},
+    found AS (SELECT query_id, list(chunk_id ORDER BY chunk_id) AS ids FROM fused GROUP BY 1),
+    put AS (SELECT query_id, list(chunk_id ORDER BY marker) AS ids FROM placed GROUP BY 1),
+    cited AS (SELECT query_id, count(*) AS n FROM cites GROUP BY 1),
+    every AS (
+        SELECT o.query_id, o.question, o.outcome, len({_split('o.text')}) AS tokens, coalesce(c.n, 0) AS citations, coalesce(f.ids, []) AS found, coalesce(p.ids, []) AS placed
+        FROM outcomes o LEFT JOIN found f USING (query_id) LEFT JOIN put p USING (query_id) LEFT JOIN cited c USING (query_id)
+    )
+    SELECT 'corpus' AS tenant, query_id, unnest([0, 1, 2, 3, 4])::INT AS seq, unnest(['rewrite', 'retrieve', 'rerank', 'prompt', 'generate']) AS name,
+           unnest([
+               to_json({{'question': question}})::VARCHAR, to_json({{'candidates': len(found), 'ids': found}})::VARCHAR,
+               to_json({{'kept': len(placed), 'ids': list_sort(placed), 'dropped': list_filter(found, lambda x: NOT list_contains(placed, x))}})::VARCHAR,
+               to_json({{'sources': len(placed), 'ids': placed}})::VARCHAR,
+               to_json({{'outcome': outcome, 'tokens': tokens, 'grounded': outcome = 'answered', 'citations': citations}})::VARCHAR
+           ]) AS detail
+    FROM every""")
 def answer_trace(spark: SparkSession, d: str) -> DataFrame:
-    rows = _context(spark, d)
-    return trace(_questions(spark, d), rows, answered(_questions(spark, d), rows), "corpus")
+    questions, chunks = _questions(spark, d), _stored_chunks(spark, d)
+    fused = shared.written(_fused(spark, d, chunks), "query-fused")
+    found = chunks.select("chunk_id", "document_id", "page", "text").join(fused.drop("score"), "chunk_id").join(questions, "query_id")
+    rows = shared.written(retrieval.edges(retrieval.gate(retrieval.rerank(found), 0.2, 3)), "query-context")
+    return trace(questions, rows, answered(questions, rows), "corpus", fused)
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
@@ -502,13 +541,13 @@ _CASES = f"""{_ANSWERS},
     rel AS (SELECT b.item_id AS query_id, list(DISTINCT u.document_id) AS relevant FROM benchmark b JOIN uniq u ON contains(u.text, b.text) GROUP BY 1),
     agg AS (SELECT query_id, string_agg(quote, ' ' ORDER BY seq) AS quotes, list(DISTINCT document_id) AS cited FROM cites GROUP BY 1),
     cases AS (
-        SELECT o.query_id, o.question, o.text, o.outcome, a.quotes, coalesce(a.cited, []) AS cited, coalesce(r.relevant, []) AS relevant
+        SELECT o.query_id, o.question, CASE WHEN o.query_id % 2 = 0 THEN string_split(o.question, ' ')[2] END AS expected, o.text, o.outcome, a.quotes, coalesce(a.cited, []) AS cited, coalesce(r.relevant, []) AS relevant
         FROM outcomes o LEFT JOIN agg a USING (query_id) LEFT JOIN rel r USING (query_id)
     ),
     scored AS (
-        SELECT query_id, 1.0::DOUBLE AS answer_accuracy,
+        SELECT query_id, (CASE WHEN expected IS NULL OR contains(lower(text), lower(expected)) THEN 1.0 ELSE 0.0 END)::DOUBLE AS answer_accuracy,
             (CASE WHEN outcome <> 'answered' THEN 1.0 WHEN coalesce(trim(quotes), '') = '' THEN 0.0 ELSE {_cov('text', 'quotes')} END)::DOUBLE AS faithfulness,
-            ({_cov('question', 'text')})::DOUBLE AS answer_relevancy,
+            ({_cov("coalesce(nullif(expected, ''), question)", 'text')})::DOUBLE AS answer_relevancy,
             (CASE WHEN len(relevant) = 0 THEN 1.0 WHEN len(cited) = 0 THEN 0.0 ELSE len(list_intersect(relevant, cited)) / len(cited)::DOUBLE END)::DOUBLE AS context_precision,
             (CASE WHEN len(relevant) = 0 THEN 1.0 WHEN len(cited) = 0 THEN 0.0 ELSE len(list_intersect(relevant, cited)) / len(relevant)::DOUBLE END)::DOUBLE AS context_recall,
             (outcome = 'answered')::INT::DOUBLE AS grounded_rate
@@ -517,7 +556,7 @@ _CASES = f"""{_ANSWERS},
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    """Answers with their citations; relevant are the documents that hold the question's whole passage."""
+    """Answers with their citations; relevant are the documents that hold the question's whole passage, and of every other question its second word is expected."""
     answers = _answers(spark, d)
     cites = answer.citations(answers).groupBy("query_id").agg(
         F.collect_set("document_id").alias("cited"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "quote"))), lambda x: x["quote"]), " ").alias("quotes")
@@ -526,7 +565,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
     held = evaluate.holding(_unique(spark, d), questions).groupBy("query_id").agg(F.collect_set("document_id").alias("relevant"))
     none, null = F.array().cast("array<bigint>"), F.lit(None).cast("string")
     rows = answers.join(cites, "query_id", "left").join(held, "query_id", "left")
-    return rows.withColumn("cited", F.coalesce("cited", none)).withColumn("relevant", F.coalesce("relevant", none)).withColumn("expected", null).withColumn("truth", null)
+    return rows.withColumn("cited", F.coalesce("cited", none)).withColumn("relevant", F.coalesce("relevant", none)).withColumn("expected", F.when(F.col("query_id") % 2 == 0, F.get(F.split("question", " ", -1), 1))).withColumn("truth", null)
 
 
 @query(f"SELECT a.doc_id, round({_cov('a.text', 'b.text')}, 9)::DOUBLE AS coverage FROM documents a JOIN benchmark b ON b.item_id = a.doc_id % (SELECT count(*) FROM benchmark)")
@@ -595,10 +634,28 @@ def delete_document(spark: SparkSession, d: str) -> DataFrame:
     return store.without(_stored(spark, d), gone).select("chunk_id")
 
 
-@query("SELECT source AS namespace, count(*) AS documents FROM documents WHERE source <> 'src3' GROUP BY 1")
+def _filled(spark: SparkSession, d: str) -> tuple[store.Store, list[str]]:
+    """A store in the shared folder with the documents of three sources, each in a namespace of its own."""
+    names = ["src1", "src2", "src3"]
+    made = store.Store(spark, WarehouseConfig(f"{shared.shared_dir(spark)}/query-store-{uuid.uuid4().hex}", 8, buckets=2))
+    made.migrate()
+    every = _docs(spark, d).where(F.col("source").isin(names)).withColumn("document_id", F.col("doc_id").cast("string"))
+    for name in names:
+        rows = every.where(F.col("source") == name).withColumn("namespace", F.col("source"))
+        documents = rows.select("namespace", "document_id", "source", F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("ingest_seq"))
+        none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in store.CHUNKS.split(", ")}
+        chunks = rows.select(*[F.lit(1).alias(c) if c == "page" else F.col(c) if c in ("namespace", "document_id", "text") else F.col("document_id").alias(c) if c == "chunk_id" else v.alias(c) for c, v in none.items()])
+        made.upsert(Scope(name), documents, chunks)
+    return made, names
+
+
+@query("SELECT s.source AS namespace, count(d.doc_id) AS documents, coalesce(sum(length(d.text)), 0)::BIGINT AS n_chars FROM (VALUES ('src1'), ('src2'), ('src3')) s(source) LEFT JOIN documents d ON d.source = s.source AND s.source <> 'src3' GROUP BY 1")
 def purge_namespace(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).withColumn("namespace", F.col("source"))
-    return docs.where("namespace <> 'src3'").groupBy("namespace").agg(F.count("*").alias("documents"))
+    """Three namespaces of a store after one of them is purged."""
+    made, names = _filled(spark, d)
+    made.purge(Scope("src3"))
+    rows = reduce(DataFrame.unionByName, [made.read("chunks", Scope(n)).agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars")).withColumn("namespace", F.lit(n)) for n in names])
+    return rows.select("namespace", "documents", "n_chars")
 
 
 @query(f"WITH {_CHUNKS} SELECT DISTINCT document_id FROM chunks")
@@ -606,10 +663,67 @@ def list_documents(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d).select("document_id").distinct()
 
 
-@query("SELECT 0 AS doc_id WHERE false")
+@query("SELECT 'none' AS scope, 0::BIGINT AS chunks UNION ALL SELECT 'src2', count(*) FROM documents WHERE source = 'src2' UNION ALL SELECT 'two ids', count(*) FROM documents WHERE source = 'src2' AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src2' ORDER BY doc_id LIMIT 2) UNION ALL SELECT 'no ids', 0")
 def unscoped_read(spark: SparkSession, d: str) -> DataFrame:
-    """A null namespace sees nothing."""
-    return _docs(spark, d).withColumn("namespace", F.col("source")).where(F.col("namespace") == F.lit(None).cast("string")).select(F.col("doc_id").cast("int").alias("doc_id"))
+    """What a store shows without a scope, with one, and with one narrowed to two documents and to none."""
+    made, _ = _filled(spark, d)
+    two = [r["document_id"] for r in made.read("documents", Scope("src2")).orderBy("ingest_seq").limit(2).collect()]
+    scopes = {"none": None, "src2": Scope("src2"), "two ids": Scope("src2", {"document_ids": two}), "no ids": Scope("src2", {"document_ids": []})}
+    return reduce(DataFrame.unionByName, [made.read("chunks", s).agg(F.count("*").alias("chunks")).select(F.lit(n).alias("scope"), "chunks") for n, s in scopes.items()])
+
+
+# == pages by geometry ==
+
+_PLACED = r"""
+    said AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM conversations),
+    words AS (
+        SELECT conv_id::VARCHAR AS doc, turn::INT AS page, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM said
+    ),
+    placed AS (SELECT *, 40.0 + 70 * (i % 8) AS x0, 100.0 + 70 * (i % 8) AS x1, 50.0 + 14 * (i // 8) AS top, 60.0 + 14 * (i // 8) AS bottom, i // 8 AS line FROM words)"""
+
+
+def _placed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns set as pages: eight words a line, the first line larger."""
+    said = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(T.words(F.col("text"))).alias("i", "text"))
+    line, column = F.floor(F.col("i") / 8), F.col("i") % 8
+    return said.select(
+        "doc", "page", "text", (40.0 + 70 * column).alias("x0"), (100.0 + 70 * column).alias("x1"), (50.0 + 14 * line).cast("double").alias("top"), (60.0 + 14 * line).cast("double").alias("bottom"),
+        F.when(line == 0, 18.0).otherwise(10.0).alias("size"), F.when(F.col("i") < 8, "Serif-Bold").otherwise("Serif").alias("fontname"), F.lit(640.0).alias("width"), F.lit(900.0).alias("height"),
+    )
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box on every page, that every third has twice as large."""
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"))
+    return pages.select("doc", "page", F.lit(100.0).alias("x0"), F.when(F.col("page") % 3 == 0, 500.0).otherwise(300.0).alias("x1"), F.lit(60.0).alias("top"), F.lit(90.0).alias("bottom"), F.lit(640.0).alias("width"), F.lit(900.0).alias("height"))
+
+
+@query(f"""WITH {_PLACED}, chars AS (SELECT doc, page, sum(length(text))::BIGINT AS text_chars FROM placed GROUP BY 1, 2),
+    boxes AS (SELECT conv_id::VARCHAR AS doc, turn::INT AS page, CASE WHEN turn % 3 = 0 THEN 12000.0 ELSE 6000.0 END AS area FROM conversations)
+    SELECT b.doc, b.page, coalesce(text_chars, 0)::BIGINT AS text_chars, round(area / 576000.0, 9)::DOUBLE AS image_area_ratio, area::DOUBLE AS bitmap_area FROM boxes b LEFT JOIN chars USING (doc, page)""")
+def pdf_measures(spark: SparkSession, d: str) -> DataFrame:
+    rows = pdf_geometry.measures(_placed_words(spark, d), _boxes(spark, d))
+    return rows.select("doc", "page", "text_chars", F.round("image_area_ratio", 9).alias("image_area_ratio"), "bitmap_area")
+
+
+@query(f"""WITH {_PLACED} SELECT doc, page, line::INT AS line, string_agg(text, ' ' ORDER BY i) AS text, CASE WHEN line = 0 THEN 18 ELSE 10 END::INT AS size, line = 0 AS bold, min(top)::DOUBLE AS top FROM placed GROUP BY ALL""")
+def pdf_lines(spark: SparkSession, d: str) -> DataFrame:
+    return pdf_geometry.lines(_placed_words(spark, d))
+
+
+@query(f"""WITH {_PLACED} SELECT doc, page, text, i FROM (SELECT *, (x0 + x1) / 2 AS x, (top + bottom) / 2 AS y FROM placed)
+    WHERE NOT (x >= 100 AND x <= CASE WHEN page % 3 = 0 THEN 500 ELSE 300 END AND y >= 60 AND y <= 90)""")
+def pdf_outside_boxes(spark: SparkSession, d: str) -> DataFrame:
+    rows = pdf_geometry.outside_boxes(_placed_words(spark, d), _boxes(spark, d))
+    return rows.select("doc", "page", "text", ((F.col("top") - 50) / 14 * 8 + (F.col("x0") - 40) / 70).cast("long").alias("i"))
+
+
+@query(f"""WITH {_PLACED}, pages AS (
+        SELECT doc, page, count(*) AS n, string_agg(text, ' ' ORDER BY i) FILTER (line = 0) AS head, string_agg(text, ' ' ORDER BY i) FILTER (line > 0) AS body, string_agg(text, ' ' ORDER BY i) AS whole FROM placed GROUP BY 1, 2
+    ) SELECT doc, page, CASE WHEN n >= 16 THEN '# ' || head || chr(10) || chr(10) || body ELSE whole END AS text FROM pages""")
+def pdf_page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A page whose body outweighs its first line has that as a heading."""
+    return pdf_geometry.markdown(_placed_words(spark, d))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

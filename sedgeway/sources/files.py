@@ -43,14 +43,15 @@ def from_extension(name: Column) -> Column:
 
 
 def from_content(content: Column) -> Column:
-    """Format by magic bytes: PDF, HTML, and zipped office files by the part names in the head."""
+    """Format by magic bytes: PDF, HTML, and zipped office files by the names of their parts, wherever these stand."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    part = lambda name: F.contains(content, F.lit(name.encode()))
     opening = F.lower(F.ltrim(F.substring(head, 1, 512)))
     zipped = head.startswith("PK\x03\x04")
     return (
         F.when(head.startswith("%PDF-"), "pdf")
-        .when(zipped & head.contains("ppt/"), "pptx")
-        .when(zipped & (head.contains("word/") | head.contains("xl/") | head.contains("[Content_Types].xml")), "docx")
+        .when(zipped & part("ppt/"), "pptx")
+        .when(zipped & (part("word/") | part("xl/") | part("[Content_Types].xml")), "docx")
         .when(opening.startswith("<!doctype html") | opening.startswith("<html"), "html")
     )
 
@@ -67,9 +68,10 @@ def identify(sources: DataFrame) -> DataFrame:
 
 
 def new_sources(sources: DataFrame, stored: DataFrame) -> DataFrame:
-    """Sources whose (namespace, content_hash) isn't stored; of equal ones the first by ingest_seq."""
-    from pyspark.sql.window import Window
+    """Sources whose (namespace, content_hash) isn't stored; of equal ones the first by ingest_seq.
 
-    first = Window.partitionBy("namespace", "content_hash").orderBy("ingest_seq")
-    fresh = sources.join(stored.select("namespace", "content_hash").distinct(), ["namespace", "content_hash"], "left_anti")
-    return fresh.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    Hashes decide; contents join what is left of them.
+    """
+    keys = ["namespace", "content_hash"]
+    first = sources.groupBy(*keys).agg(F.min("ingest_seq").alias("ingest_seq")).join(stored.select(*keys).distinct(), keys, "left_anti")
+    return sources.join(first, [*keys, "ingest_seq"]).dropDuplicates([*keys, "ingest_seq"])

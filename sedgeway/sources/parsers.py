@@ -234,12 +234,41 @@ def _plain(content: bytes) -> list[str]:
     return [content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")]
 
 
-def _pdf(content: bytes) -> list[str]:
-    raise NotImplementedError("no reader of PDF bytes here; give its words to sedgeway.operators.pdf_geometry")
+def pdf_markdown(content: bytes) -> list[str]:
+    """Markdown of each page of a PDF by the geometry of its words and rules; a page without text is empty."""
+    from sedgeway.operators import pdf_geometry
+    from sedgeway.sources import pdf
+
+    return [pdf_geometry.page_markdown(p.words, p.width, pdf_geometry.ruled_tables(p.words, p.rules)) for p in pdf.read_pages(content)]
+
+
+def pdf_words(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words and the images of PDFs (``document_id, content``) as the tables that :mod:`~sedgeway.operators.pdf_geometry` measures.
+
+    A file that can't be read has neither.
+    """
+    from sedgeway.sources import pdf
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, content in zip(batch["document_id"], batch["content"], strict=True):
+                try:
+                    pages = pdf.read_pages(bytes(content))
+                except Exception:  # parse() says why
+                    continue
+                for n, p in enumerate(pages, 1):
+                    rows += [(doc, n, w["text"], w["x0"], w["x1"], w["top"], w["bottom"], w["size"], w["fontname"], p.width, p.height) for w in p.words]
+                    rows += [(doc, n, None, x0, x1, top, bottom, None, None, p.width, p.height) for x0, top, x1, bottom in p.images]
+            yield pd.DataFrame(rows, columns=["doc", "page", "text", "x0", "x1", "top", "bottom", "size", "fontname", "width", "height"])
+
+    schema = "doc string, page int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, width double, height double"
+    every = sources.select("document_id", "content").mapInPandas(run, schema)
+    return every.where("text is not null"), every.where("text is null").drop("text", "size", "fontname")
 
 
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {
-    "text": _plain, "html": lambda c: [html_markdown(c)], "docx": lambda c: [docx_markdown(c)], "pptx": pptx_markdown, "pdf": _pdf,
+    "text": _plain, "html": lambda c: [html_markdown(c)], "docx": lambda c: [docx_markdown(c)], "pptx": pptx_markdown, "pdf": pdf_markdown,
 }
 
 

@@ -42,8 +42,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read back.  What isn't discarded before goes when the driver ends."""
+    return written_to(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", partition_by)
+
+
+def written_to(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """The same in a folder of the caller's choice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _kept:
         atexit.register(sweep)
     _kept[path] = spark

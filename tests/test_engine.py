@@ -84,7 +84,7 @@ def test_events_and_trace(engine, spark):
 def test_no_chunk_twice(spark, tmp_path):
     """Fresh warehouses with the default settings: a chunk that two channels find is in the context once."""
     q = spark.createDataFrame([(1, "alpha?"), (2, "beta gamma?")], "query_id long, question string")
-    for n in range(12):
+    for n in range(6):
         e = E.Engine(spark, WarehouseConfig(str(tmp_path / str(n)), 64))
         e.ingest(Scope("e"), sources(spark, a_txt="Alpha beta."))
         got = {r["query_id"]: r for r in e.ask(Scope("e"), q).collect()}
