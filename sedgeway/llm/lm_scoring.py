@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from sedgeway.llm import common
 from sedgeway.llm.textops import Words, steps
 
-#: Bytes of a dictionary: a share of the counted words' bytes, but never less than DICT_BYTES.
-SHARE, DICT_BYTES = 0.025, 112_640
+#: Bytes of a dictionary: a share of the counted words' bytes, but never less than DICT_BYTES, nor more than the
+#: window of 2**27 that zstandard's decoders accept; this bounds what travels to the tasks.
+SHARE, DICT_BYTES, WINDOW = 0.025, 112_640, 1 << 27
 LEVEL = 3
 #: A back reference costs about so many bytes; shorter words gain nothing.
 REFERENCE = 3
@@ -110,7 +111,7 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int | None = None) ->
         "lm-words",
     )
     total = counts.agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum(F.octet_length("word") + 1).alias("bytes")).first()
-    size = size or max(DICT_BYTES, int(SHARE * (total["bytes"] or 0)))
+    size = size or min(WINDOW, max(DICT_BYTES, int(SHARE * (total["bytes"] or 0))))
     saved = F.octet_length("word") + 1 - REFERENCE
     ratio = (F.col("inside") / max(1, total["inside"] or 0)) / (F.col("n") / max(1, total["n"] or 0))
     fits = F.octet_length("word") < size
