@@ -175,4 +175,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, m
     """
     mark = F.xxhash64(docs["text"].cast("string"))
     bad = common.written(contaminated(docs.select(mark.alias("doc_id"), "text"), benchmark, seed, min_coverage).select(F.col("doc_id").alias("_bad")).distinct(), "decontaminate-marks")
-    return docs.join(common.small(bad, bad.count()), mark == F.col("_bad"), "left_anti")
+    bad = common.small(bad, bad.count())
+    return docs.join(bad, mark == bad["_bad"], "left_anti")

@@ -95,7 +95,7 @@ def _clusters(idf: np.ndarray, k: int, rounds: int) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         lang = table["lang"][0].as_py()
-        table = table.sort_by("h")
+        table = table.sort_by([("h", "ascending"), ("text", "ascending")])
         text = table["text"].combine_chunks()
         x = np.concatenate([features(text.slice(a, b - a))[0] for a, b in _pieces(text)])
         x = x[x.any(axis=1)]
@@ -131,7 +131,7 @@ class Model:
 
 
 def train(rows: DataFrame, clusters: int = CLUSTERS, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model:
-    """Fit on ``rows`` (doc_id, text, lang), of which those with a null text or lang are left out."""
+    """Fit on ``rows`` (doc_id, text, lang), of which those with a null text or lang are left out; equal ones count once in the sample."""
     rows = rows.where("text is not null and lang is not null")
     df = np.ones(DIM, np.int64)
     n = 0
@@ -144,10 +144,11 @@ def train(rows: DataFrame, clusters: int = CLUSTERS, sample_rows: int = SAMPLE_R
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     n_langs = max(1, rows.select("lang").distinct().count())
     each = max(20, sample_rows // n_langs)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    key = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked = key.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("doc_id", "lang", "h").distinct()
-    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "h", "text")  # each * n_langs ids
+    # equal rows are one, so an id or a text that is repeated ever so often fills no sample
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    keyed = rows.withColumns({"h": F.xxhash64("doc_id"), "mark": F.xxhash64("text")})
+    picked = keyed.groupBy("doc_id", "lang", "h", "mark").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("doc_id", "lang", "h", "mark")
+    sample = keyed.join(common.small(picked, each * n_langs), ["doc_id", "lang", "h", "mark"]).groupBy("lang", "h", "doc_id", "mark").agg(F.first("text").alias("text")).select("lang", "h", "text")
     found = sample.groupBy("lang").applyInArrow(common.frugal(_clusters(idf, clusters, rounds)), "lang string, k int, low double, centre binary").orderBy("lang", "k").collect()
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in found]) if found else np.zeros((0, DIM), np.float32)
     return Model(idf, [r["lang"] for r in found], np.array([r["low"] for r in found]), centres)
