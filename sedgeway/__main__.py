@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
+import uuid
 
 from sedgeway import __version__
 
@@ -27,18 +27,19 @@ def main(argv: list[str] | None = None) -> int:
     from sedgeway.config import Scope, WarehouseConfig
     from sedgeway.operators import evaluate
     from sedgeway.plans.engine import Engine, golden_run
+    from sedgeway.sources import models, shared
 
     spark = SparkSession.builder.appName("sedgeway").getOrCreate()
     try:
         if got.command == "eval":
-            engine = Engine(spark, WarehouseConfig(tempfile.mkdtemp(), 256))
+            engine = Engine(spark, WarehouseConfig(f"{shared.shared_dir(spark)}/eval-{uuid.uuid4().hex}", 256))
             report = evaluate.report(golden_run(engine))
             for name, value in report.first().asDict().items():
                 print(f"{name:20} {value:.3f}" if isinstance(value, float) else f"{name:20} {value}")
             failed = [r["message"] for r in evaluate.below_floor(report).collect()]
             print(*failed, sep="\n")
             return int(bool(failed))
-        engine, scope = Engine(spark, WarehouseConfig(got.warehouse, 256)), Scope(got.namespace)
+        engine, scope = Engine(spark, WarehouseConfig(models.location(got.warehouse), 256)), Scope(got.namespace)
         if got.command == "ingest":
             for r in engine.ingest_folder(scope, got.folder).orderBy("source").toLocalIterator():
                 print(f"{r['source']}: {r['error'] or ('known' if r['deduplicated'] else str(r['chunk_count']) + ' chunks')}")

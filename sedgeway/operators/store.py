@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, config: WarehouseConfig) -> None:
         self.spark, self.config = spark, config
+        self._open: tuple[str, dict[str, dict[str, str]]] | None = None
 
     def _base(self, namespace: str | None = None) -> str:
         base = f"{self.config.path.rstrip('/')}/{self.config.prefix}_tables"
@@ -62,7 +64,9 @@ class Store:
         return fs.exists(p)
 
     def _manifest(self, namespace: str) -> tuple[int, dict[str, dict[str, str]]]:
-        """Number and content of the newest manifest: table, bucket, folder."""
+        """Number and content of the newest manifest (or of the change that is open): table, bucket, folder."""
+        if self._open is not None and self._open[0] == namespace:
+            return -1, self._open[1]
         p, fs = self._files(f"{self._base(namespace)}/manifests")
         names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
         numbers = [int(n[:-5]) for n in names if n.endswith(".json")]
@@ -125,6 +129,24 @@ class Store:
         ids = scope.document_ids()
         return rows if ids is None else rows.where(F.col("document_id").isin(ids) if ids else F.lit(False))
 
+    @contextmanager
+    def changing(self, scope: Scope) -> Iterator[Store]:
+        """Several changes of one namespace that are seen together: published at the end, or not at all if the block fails.
+
+        Inside, this store reads what it has written.
+        """
+        if self._open is not None:
+            raise RuntimeError("a change is open")
+        number, content = self._manifest(scope.namespace)
+        self._open = (scope.namespace, content)
+        try:
+            yield self
+            if self._open[1] is not content:
+                after, self._open = self._open[1], None
+                self._publish(scope.namespace, number, after)
+        finally:
+            self._open = None
+
     def _change(self, scope: Scope, buckets: list[int], change: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
         """Write these buckets of the tables anew and publish them together."""
         number, content = self._manifest(scope.namespace)
@@ -140,7 +162,10 @@ class Store:
                 content[table].pop(b, None)
                 if b in written:
                     content[table][b] = f"{fresh}/bucket={b}"
-        self._publish(scope.namespace, number, content)
+        if self._open is not None and self._open[0] == scope.namespace:
+            self._open = (scope.namespace, content)
+        else:
+            self._publish(scope.namespace, number, content)
 
     def migrate(self) -> None:
         """Make the folder; first make sure that what is stored has the configured width."""

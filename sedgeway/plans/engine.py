@@ -165,10 +165,24 @@ class Engine:
             full = read.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("full_text"))
             chunks = chunks.join(full, "document_id")
             if self.seams.contextualizer is not None:
-                to_embed = context.contextualized(F.col("text"), F.col("full_text"), self.seams.contextualizer)
+                return self._embedded(self._contextualized(chunks))
             else:
                 to_embed = context.heading_window(F.col("source"), F.col("headings"), F.col("text"), F.col("full_text"))
-        rows = chunks.withColumn("embed_text", to_embed)
+        return self._embedded(chunks.withColumn("embed_text", to_embed))
+
+    def _contextualized(self, chunks: DataFrame) -> DataFrame:
+        """``embed_text`` by the model, which is asked only for chunks whose document and chunk the cache doesn't have."""
+        path = f"{self.config.path.rstrip('/')}/_contexts/version={self.seams.version}"
+        keyed = chunks.withColumn("context_key", F.sha2(F.concat_ws("\0", "full_text", "chunk_id", "text"), 256))
+        schema = "context_key string, embed_text string"
+        held = self.spark.read.schema(schema).parquet(path) if self.store.exists(path) else self.spark.createDataFrame([], schema)
+        held = self._staged("contexts", held.join(keyed.select("context_key").distinct(), "context_key", "left_semi"))
+        new = keyed.join(held.select("context_key"), "context_key", "left_anti").dropDuplicates(["context_key"])
+        made = self._staged("contexts", new.select("context_key", context.contextualized(F.col("text"), F.col("full_text"), self.seams.contextualizer).alias("embed_text")))
+        made.write.mode("append").parquet(path)
+        return keyed.join(held.unionByName(made).dropDuplicates(["context_key"]), "context_key").drop("context_key")
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("embedding", embedding.embed(F.col("embed_text"), self.config.embedding_width, self.seams.embedder))
         return rows.withColumn("embedding_model", F.lit(self.seams.embedding_model)).withColumn("metadata", F.create_map().cast("map<string,string>"))
 

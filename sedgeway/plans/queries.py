@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from sedgeway.config import Scope, WarehouseConfig
 from sedgeway.functions import smalltalk
 from sedgeway.functions import text as T
-from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, pdf_geometry, retrieval, store
+from sedgeway.operators import answer, chunking, context, embedding, evaluate, layout, pdf_geometry, retrieval, store, websearch
 from sedgeway.plans.engine import answered, retrieve, trace
 from sedgeway.sources import files, parsers, shared
 
@@ -352,6 +352,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm(spark, d)
 
 
+@query()
+def websearch_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Two words of each question, or its third and fourth without the fifth, by their stems."""
+    p = F.split("question", " ", -1)
+    said = F.concat_ws(" ", F.get(p, 1), F.get(p, 2), F.lit("or"), F.get(p, 3), F.get(p, 4), F.concat(F.lit("-"), F.get(p, 5)))
+    return websearch.websearch_topk(_questions(spark, d).select("query_id", said.alias("question")), _chunks(spark, d))
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
     return rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "label"), rows
