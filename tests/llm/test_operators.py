@@ -317,6 +317,40 @@ def test_lm_scores(spark, empty):
     assert lm_scoring.lm_scores(docs, labels.where("false")).count() == len(rows)
 
 
+def test_lm_sizes_by_zstandard_itself(spark):
+    """Dictionaries by the gains of words counted here, sizes by the library's own compressor, scores from these."""
+    import zstandard
+
+    r = random.Random(31)
+    words = [f"word{k:03d}" + "x" * (k % 6) for k in range(150)]
+    rows = [(i, " ".join(r.choice(words[: 40 + 110 * (i % 3 > 0)]) for _ in range(r.randint(1, 120))) + (" straße é\n\t" if i % 4 == 0 else "")) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i in range(30)]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    n, inside = Counter(), Counter()
+    good = {i for i, q in labels if q}
+    for i, text in rows:
+        for w in WHITE.findall(text):
+            if len(w.encode()) > lm_scoring.REFERENCE:
+                n[w] += 1
+                inside[w] += i in good
+    saved = lambda w: len(w.encode()) + 1 - lm_scoring.REFERENCE
+    ratio = lambda w: (inside[w] / sum(inside.values())) / (n[w] / sum(n.values()))
+    packed = []
+    for gain in ({w: round(inside[w] * saved(w) * min(ratio(w), 2.0), 6) for w in n if inside[w]}, {w: n[w] * saved(w) for w in n}):
+        parts, left = [], 700
+        for w in sorted(gain, key=lambda w: (-gain[w], w)):
+            if len(w.encode()) + 1 <= left:
+                parts.append(w.encode() + b" ")
+                left -= len(parts[-1])
+        packed.append(b"".join(reversed(parts)))
+    assert list(lm_scoring.dictionaries(docs, marked, 700)) == packed
+    text_of = dict(rows)
+    for x in lm_scoring.lm_scores(docs, marked, size=700).collect():
+        raw = text_of[x["doc_id"]].encode()
+        a, b = (len(zstandard.ZstdCompressor(level=lm_scoring.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(raw)) for d in packed)
+        assert (x["n_bytes"], x["domain_bytes"], x["general_bytes"]) == (len(raw), a, b) and x["score"] == pytest.approx((b - a) / (a + b))
+
+
 def test_lm_counts_every_word(spark):
     docs = spark.createDataFrame([(1, "alpha alpha beta"), (2, "alpha tiny of")], "doc_id long, text string").withColumn("inside", F.col("doc_id") == 2)
     got = {r["word"]: (r["n"], r["inside"]) for r in docs.select("text", "inside").mapInArrow(lm_scoring._word_counts, "word string, n long, inside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()}
@@ -361,6 +395,23 @@ def test_language_id(spark, empty):
     assert {x["lang_pred"] for x in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_held_out_accuracy(spark):
+    """On the test tables: documents that weren't trained on, against their label."""
+    from tests.conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held = language_id.identify(docs).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 30 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+
+
+def test_sample_of_repeated_rows(spark):
+    """One row over and over doesn't fill the sample of its language."""
+    rows = [(7, "uno dos tres cuatro", "es")] * 500 + [(100 + i, f"cinco seis siete ocho nueve diez {i}", "es") for i in range(60)] + [(300 + i, f"one two three four five {i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, language_id.train(docs, sample_rows=80)).collect()}
+    assert all(v == ("en" if k >= 300 else "es") for k, v in got.items())
+
+
 def test_predictions_do_not_see_labels(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i % 2 else "gamma delta", "x" if i % 2 else "y") for i in range(40)], "doc_id long, text string, lang string")
     model = language_id.train(docs)
@@ -693,7 +744,8 @@ def brute_base(text):
 
 def brute_model(texts):
     """Interpolated modified Kneser-Ney by its formulas, with dictionaries."""
-    order, table = quality_rules.ORDER, quality_rules._class_table()
+    letters = Counter(ord(c.lower()) for s in texts for c in s if c.isalpha())
+    order, table = quality_rules.ORDER, quality_rules._class_table(tuple(sorted(letters, key=lambda c: (-letters[c], c))[: quality_rules.ALPHABET]))
     cls = lambda s: (0,) * (order - 1) + tuple(int(table[min(ord(c), 0xFFFF)]) for c in s) + (0,)
     counts = [Counter() for _ in range(order + 1)]
     for s in texts:
@@ -756,10 +808,30 @@ def test_quality_base_and_model(docs, rows, empty):
 
 def test_backoff_for_unseen(spark):
     model = quality_rules.models(spark.createDataFrame([("en", "abcabcabd abc")], "lang string, text string"))["en"]
-    score, grams = brute_model(["abcabcabd abc"]), quality_rules._grams(["abx zzé"])[0]
+    score, grams = brute_model(["abcabcabd abc"]), quality_rules._grams(["abx zzé"], quality_rules._class_table(model.alphabet))[0]
     assert -model.log_probability(grams).mean() == pytest.approx(score("abx zzé"), abs=1e-4)
 
 
+def test_other_scripts_have_models(spark):
+    """In any script, prose of a language is told from the same letters in disorder, by the registered settings."""
+    r = random.Random(14)
+    rows = []
+    for lang, letters in (("ru", "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф"), ("el", "αοιετσνηυρπκμλωδγχθφβξζψ"), ("xx", "etaoinshrdlu")):
+        words = ["".join(r.choice(letters[: 4 + k % 9]) for k in range(r.randint(2, 8))) for _ in range(120)]
+        rows += [(len(rows) + i, " ".join(r.choice(words) for _ in range(250)), lang, 1) for i in range(130)]
+        rows += [(len(rows) + i, " ".join("".join(r.sample(letters, min(len(letters), 6))) for _ in range(250)), lang, 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    kept = {x["doc_id"] for x in quality_rules.quality(docs, labels=docs.select("doc_id", "quality")).where("kept").collect()}
+    good = [x[0] for x in rows if x[3]]
+    assert not kept & {x[0] for x in rows if not x[3]} and len(kept) >= 0.97 * len(good)
+
+
+def test_models_that_travel_in_turns(docs, rows, monkeypatch):
+    one = Counter(map(tuple, quality_rules.quality(docs).collect()))
+    monkeypatch.setattr(quality_rules, "TRAVEL", 10)
+    assert one == Counter(map(tuple, quality_rules.quality(docs).collect()))
+
+
 def test_quality_bands(spark):
     r = random.Random(12)
     vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7))) for _ in range(300)]

@@ -45,15 +45,18 @@ def test_near_duplicate_stage(stages):
 
 def test_decontamination_stage(spark, stages):
     bench = [words_of(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    seeds = {tuple(b[k : k + 4]) for b in bench for k in range(len(b) - 3)}
     bad = set()
     for d, t in rows(stages[2]):
         w = words_of(t)
-        near = [k for k in range(len(w) - 3) if tuple(w[k : k + 4]) in seeds]
-        if near:
-            part = w[near[0] : near[-1] + 4]
-            if len(part) < 400:
-                bad |= {d for b in bench if (n := brute_tiling(part, b, 4)[0]) and n >= decontaminate.MIN_COVERAGE * len(b)}
+        grams = {tuple(w[k : k + 4]): k for k in range(len(w) - 3)}
+        for b in bench:
+            shared = [k for k in range(len(b) - 3) if tuple(b[k : k + 4]) in grams]
+            if len({j for k in shared for j in range(k, k + 4)}) >= decontaminate.MIN_COVERAGE * len(b):  # tiles cover no more than this
+                seeds = {tuple(b[k : k + 4]) for k in shared}
+                near = [k for k in range(len(w) - 3) if tuple(w[k : k + 4]) in seeds]
+                n = brute_tiling(w[near[0] : near[-1] + 4], b, 4)[0]
+                if n and n >= decontaminate.MIN_COVERAGE * len(b):
+                    bad.add(d)
     assert bad and {d for d, _ in rows(stages[2])} - bad == {d for d, _ in rows(stages[3])}
 
 
@@ -87,5 +90,18 @@ def test_oracles(spark, name):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns with the names that stages use inside come through all of them, types and values."""
+    names = ["_id", "_mark", "_block", "_component", "id", "component", "row", "mark", "_bad", "_d", "_l", "_m", "tokens", "copies", "carried", "h1", "node", "key", "_word", "rank"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", *[f"doc_id * 2 + {k} as `{n}`" for k, n in enumerate(names)], "map('k', doc_id) as `a map`", "array(source) as `dotted.name`")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.columns[5:] == [*names, "a map", "dotted.name"] and docs.count() > 100
+    for r in docs.collect():
+        assert all(r[n] == r["doc_id"] * 2 + k for k, n in enumerate(names)) and r["a map"] == {"k": r["doc_id"]} and r["dotted.name"] == [r["source"]]
+    assert corpus_pipeline.sharding_stage(spark, docs, DATA).count() == docs.count()
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
