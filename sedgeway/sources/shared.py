@@ -40,6 +40,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def owned(spark: SparkSession, path: str) -> None:
+    """Note a folder that goes with the driver at last."""
+    if not _kept:
+        atexit.register(sweep)
+    _kept[path] = spark
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read back.  What isn't discarded before goes when the driver ends."""
     return written_to(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", partition_by)
@@ -48,9 +55,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def written_to(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """The same in a folder of the caller's choice."""
     spark = df.sparkSession
-    if not _kept:
-        atexit.register(sweep)
-    _kept[path] = spark
+    owned(spark, path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
