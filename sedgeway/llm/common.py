@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeway.sources.shared import discard, shared_dir, written  # noqa: F401
+from sedgeway.sources.shared import discard, owned, shared_dir, written  # noqa: F401
 
 #: Rows up to which a side whose count was taken may be broadcast; rows here are
 #: narrow (ids, hashes and counts), so this is some megabytes.

@@ -136,6 +136,7 @@ class LineRuns:
         """A table of ``buckets`` buckets by key, each sorted by it."""
         name = f"sedgeway_line_run_{uuid.uuid4().hex}"
         path = f"{common.shared_dir(self.spark)}/{name}"
+        common.owned(self.spark, path)
         rows.select("h1", "h2", "docs", "last").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         table = self.spark.table(name)
         self._tables[id(table)] = (name, path)

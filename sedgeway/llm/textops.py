@@ -16,6 +16,8 @@ import pyarrow as pa
 #: Bytes of text handled by one vectorised step; a longer single text is one step.  The arrays of a step fit the cache.
 STEP_BYTES = 1 << 18
 
+#: Bytes whose words are hashed at a time.
+SPAN = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHITE = np.zeros(256, dtype=bool)
@@ -101,11 +103,19 @@ class Words:
         self.row = np.repeat(np.arange(n), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """Hash of each word's bytes; equal words have equal hashes."""
-        up, down = _power(len(self.raw) + 1)
-        run = np.zeros(len(self.raw) + 1, dtype=np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=run[1:])
-        return mix((run[self.ends] - run[self.starts]) * down[self.starts])
+        """Hash of each word's bytes; equal words have equal hashes.  A span of the bytes at a time, so a long text takes no more."""
+        out = np.empty(len(self.starts), np.uint64)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + SPAN)))
+            lo, hi = int(self.starts[a]), int(self.ends[b - 1])
+            up, down = _power(hi - lo + 1)
+            run = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum((self.raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=run[1:])
+            start = self.starts[a:b] - lo
+            out[a:b] = mix((run[self.ends[a:b] - lo] - run[start]) * down[start])
+            a = b
+        return out
 
     def windows(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every window of ``size`` words that lies in one row."""

@@ -826,6 +826,29 @@ def test_other_scripts_have_models(spark):
     assert not kept & {x[0] for x in rows if not x[3]} and len(kept) >= 0.97 * len(good)
 
 
+def test_rare_languages_share_a_model(spark, monkeypatch):
+    rows = [(i, f"some words of document {i} that are more than ten in all, as the rules want", ["en", "en", "de", "fr"][i % 4], i) for i in range(40)] + [(50, "x y", "fr", 1), (50, "other text", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra long")
+    pooled = docs.withColumn("lang", F.when(F.col("lang") == "en", "en"))
+    want = Counter(map(tuple, quality_rules.quality(pooled).collect()))
+    monkeypatch.setattr(quality_rules, "MAX_LANGS", 1)
+    assert Counter(map(tuple, quality_rules.quality(docs).collect())) == want
+    assert {(r["doc_id"], r["extra"]) for r in quality_rules.keep_quality(docs).collect()} <= {(r[0], r[3]) for r in rows if r[0] < 50}
+
+
+def test_long_texts_in_parts(monkeypatch):
+    r = random.Random(15)
+    texts = ["".join(r.choice("ab é.\n") for _ in range(n)) for n in (0, 1, 6, 7, 8, 13, 14, 15, 40)]
+    table = quality_rules._class_table((ord("a"), ord("b"), ord("é")))
+    whole = Counter(zip(*(x.tolist() for x in quality_rules._grams(texts, table)), strict=True))
+    monkeypatch.setattr(quality_rules, "LONG", 7)
+    assert whole == sum((Counter(zip(a.tolist(), b.tolist(), strict=True)) for a, b in quality_rules._gram_parts(texts, table)), Counter())
+    long = pa.array(["word " * 50 + "x" * 300 + " word tail", "word"])
+    one = textops.Words(long).hashes()
+    monkeypatch.setattr(textops, "SPAN", 16)
+    assert (one == textops.Words(long).hashes()).all() and one[0] == one[-1] and len(set(one.tolist())) == 3
+
+
 def test_models_that_travel_in_turns(docs, rows, monkeypatch):
     one = Counter(map(tuple, quality_rules.quality(docs).collect()))
     monkeypatch.setattr(quality_rules, "TRAVEL", 10)
