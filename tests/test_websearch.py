@@ -24,7 +24,7 @@ TEXTS = {"a": "The reactor's safety systems were tested", "b": "Safety of reacto
 @pytest.mark.parametrize(
     ("question", "want"),
     [
-        ("testing reactor", "a"), ("reactors safety", "fab"), ("safety or city", "fabc"), ("france -reactor", "c"), ('"reactor safety"', "a"), ('"safety reactor"', "f"), ('"safety of reactors"', "b"), ('safety -"safety systems"', "fb"),
+        ("testing reactor", "a"), ("reactors safety", "fab"), ("safety or city", "fabc"), ("france -reactor", "c"), ('"reactor safety"', ""), ('"safety systems"', "a"), ('"safety reactor"', "f"), ('"safety of reactors"', "fb"), ('safety -"safety systems"', "fb"),
         ("noise city or reactor france", "bc"), ("zebra", ""), ("", ""), ("   ", ""), ('"', ""), ("-", ""), ("and or", ""), ("!!!", ""), ("a -", ""), ("-france", ""), ("OR", ""), ('""', ""), ("the of", ""),
     ],
 )
