@@ -493,6 +493,22 @@ def test_jaccard_blocks(spark, monkeypatch, hot):
     assert links(ngram_jaccard.jaccard_links(table)) == brute_jaccard(rows)
 
 
+def test_jaccard_in_rounds(spark, monkeypatch):
+    """A corpus taken in rounds of set sizes has the same links, and no round has more n-grams than it may."""
+    sizes = [(n, 100 * n, 100) for n in range(10, 400, 3)]
+    monkeypatch.setattr(ngram_jaccard, "ROUND_TOKENS", 1_200_000)
+    rounds = ngram_jaccard._rounds(sizes, 60)
+    assert len(rounds) > 2 and all(b[0] == a[1] for a, b in zip(rounds, rounds[1:], strict=False)) and rounds[-1][1] is None
+    for a in range(10, 400, 3):  # the largest partner is in the round of the smaller set
+        low, end, _ = next(r for r in rounds if r[0] <= a and (r[1] is None or a < r[1]))
+        assert end is None or a * 100 // 60 * 60 < 100 * end
+    for low, end, _ in rounds:  # but for one whose sizes are close together
+        assert sum(t for n, t, _ in sizes if n >= low and (end is None or n * 60 < 100 * end)) <= 1_200_000 or end <= 1.3 * low
+    monkeypatch.setattr(ngram_jaccard, "ROUND_TOKENS", 500)
+    rows = near_copies(11)
+    assert links(ngram_jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_jaccard(rows)
+
+
 def test_representatives(docs, rows):
     got = Counter(r["doc_id"] for r in ngram_jaccard.representatives(docs).collect())
     alone = [r for r in brute_jaccard(rows).elements() if r[2] == 0 or r[0] is None]
