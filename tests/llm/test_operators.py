@@ -373,6 +373,26 @@ def test_lm_compressor_finds_all_of_a_large_dictionary():
     assert len(packer.compress(text)) < 0.1 * len(text)
 
 
+def test_lm_time_of_a_text_is_not_the_dictionary_s(spark):
+    """Long texts don't each copy the tables of a large dictionary; sizes are zstandard's own for a stream of unknown size."""
+    import time
+
+    r = random.Random(4)
+    words = [bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300_000)]
+    content = b" ".join(words)
+    texts = [b" ".join(r.choice(words) for _ in range(2_000)) for _ in range(60)]
+    packer, size, took = lm_scoring._compressor(content, 3), lm_scoring._sizer(content, 3), []
+    for of in (lambda raw: len(packer.compress(raw)), size):
+        of(texts[0])
+        began = time.process_time()
+        got = [of(raw) for raw in texts]
+        took.append(time.process_time() - began)
+    assert took[1] < took[0] / 2
+    assert all(0 < n < 0.5 * len(raw) for n, raw in zip(got, texts, strict=True))
+    docs = spark.createDataFrame([(k, raw.decode()) for k, raw in enumerate(texts[:5])], "doc_id long, text string")
+    assert [x["general_bytes"] for x in lm_scoring.score(docs, b"", content).orderBy("doc_id").collect()] == got[:5]
+
+
 # == 5 language ID ==
 
 
