@@ -862,6 +862,23 @@ def test_other_scripts_have_models(spark):
     assert not kept & {x[0] for x in rows if not x[3]} and len(kept) >= 0.97 * len(good)
 
 
+def test_letters_beyond_the_alphabet_are_told_apart(spark):
+    """Texts that differ only in letters that share a class have scores of their own, by these letters' counts over all documents."""
+    table = quality_rules._class_table(())
+    first = int(table[0x4E00])
+    alike = [chr(c) for c in range(0x4E00, 0x5200) if table[c] == first][:60]
+    r = random.Random(21)
+    common_ = [chr(0x6000 + k) for k in range(quality_rules.ALPHABET)]
+    filler = "".join(common_) * 2_000
+    texts = ["".join(r.choice(common_) + r.choice(alike[:3]) for _ in range(100)) for _ in range(40)]
+    rare = texts[0].translate({ord(a): ord(b) for a, b in zip(alike[:3], alike[50:53], strict=True)})
+    rows = [(0, texts[0], "zh"), (1, rare, "zh"), (2, filler, "zh")] + [(3 + k, t, "zh") for k, t in enumerate(texts[1:])]
+    got = {x["doc_id"]: x["log_perplexity"] for x in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    n = Counter(c for _, t, _ in rows for c in t if c in alike)
+    own = lambda t: sum(math.log(n[c] / sum(n.values())) for c in t if c in alike) / (len(t) + 1)
+    assert got[1] - got[0] == pytest.approx(own(texts[0]) - own(rare), abs=1e-4) and got[1] > got[0] + 1
+
+
 def test_rare_languages_share_a_model(spark, monkeypatch):
     rows = [(i, f"some words of document {i} that are more than ten in all, as the rules want", ["en", "en", "de", "fr"][i % 4], i) for i in range(40)] + [(50, "x y", "fr", 1), (50, "other text", None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra long")
