@@ -63,6 +63,27 @@ def test_many_steps(spark, monkeypatch):
     assert one[0] == brute
 
 
+def test_what_a_task_holds():
+    """Common words that many questions ask for are expanded some pairs at a time, however large a batch is."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(40)]
+    asked = pa.table({"query_id": [q for q in range(100) for _ in words], "token": words * 100, "n_terms": pa.array([40] * 4000, pa.int32())})
+    tokens = pa.array([words[i % 7 :] for i in range(6000)])
+    batch = pa.record_batch([pa.array([f"c{i:05}" for i in range(6000)]), tokens], names=["chunk_id", "_tokens"])
+    run = R._scorer(R._Terms(asked), (R.OVERLAP,), 3, True, ["chunk_id"], ["chunk_id"], None)
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 300 and set(found["chunk_id"].to_pylist()) == {"c00000", "c00007", "c00014"}
+    assert most < 200e6  # 22 million pairs take some 530 MB at once
+
+
 def test_filter(spark, chunks):
     assert R.narrowed(chunks, ["a", "c"]).count() == 2 and R.narrowed(chunks, []).count() == 0 and R.narrowed(chunks, None).count() == 4
 
