@@ -151,6 +151,32 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_lsh_candidates(spark, monkeypatch):
+    """The candidates of a brute reading of the buckets, without a join: also in steps, in blocks and as a grid."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "chunk_id long, vector array<double>").repartition(3)
+    q = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    planes = np.random.default_rng(7).standard_normal((2, 6, 6))
+    bits = np.einsum("nw,tbw->ntb", x, planes) > 0
+    scores = np.round(x @ x.T, 6)
+    want = []
+    for a in range(0, 300, 20):
+        near = [b for b in range(300) if min((bits[a] != bits[b]).sum(axis=1)) <= 1]
+        want += [(a, b, r) for r, b in enumerate(sorted(near, key=lambda b: (-scores[a, b], b))[:7])]
+    find = lambda: R.lsh_topk(q, rows, 7, tables=2)
+    assert ranked(find()) == want
+    assert "Join" not in find()._jdf.queryExecution().toString()
+    monkeypatch.setattr(R, "SCORES", 40)
+    monkeypatch.setattr(R, "PAIRS", 30)
+    monkeypatch.setattr(R, "BLOCK_NUMBERS", 28)
+    assert ranked(find()) == want
+    monkeypatch.setattr(R, "TRAVEL_NUMBERS", 0)
+    assert ranked(find()) == want
+    assert R.lsh_topk(q, rows.where("false"), 7).count() == 0
+
+
 def test_hashing(spark):
     assert embedding.bucket("paris", 256) == embedding.bucket("paris", 256) < 256
     df = spark.createDataFrame([(1, "the cat the"), (2, ""), (3, None)], "id long, text string")
