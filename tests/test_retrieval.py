@@ -141,6 +141,20 @@ def test_dense_grid(spark, monkeypatch):
     assert one == ranked(R.dense_topk(q, rows, 3))
 
 
+def test_sparse_shuffles_texts_not_tokens(spark):
+    """Rows of one key count as one text; a plan has one shuffle, by key."""
+    df = spark.createDataFrame([(1, "cat the"), (1, "the"), (2, "dog"), (3, None)], "id long, text string")
+    rows = embedding.sparse(df, ["id"], F.col("text"), 16)
+    one = {r["bucket"]: r["weight"] for r in embedding.sparse(spark.createDataFrame([(1, "the cat the")], "id long, text string"), ["id"], F.col("text"), 16).collect()}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    got = rows.collect()
+    assert {r["bucket"]: r["weight"] for r in got if r["id"] == 1} == pytest.approx(one) and {r["id"] for r in got} == {1, 2}
+    assert plan.count("Exchange hashpartitioning") == 1
+    alone = embedding.sparse(df.where("id > 1"), ["id"], F.col("text"), 16, distinct=True)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], r["bucket"], r["weight"]) for r in alone.collect()] == [(2, embedding.bucket("dog", 16), 1.0)]
+
+
 def test_lsh_recall(spark):
     from tests.conftest import DATA
 
