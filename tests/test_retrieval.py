@@ -141,6 +141,22 @@ def test_dense_grid(spark, monkeypatch):
     assert one == ranked(R.dense_topk(q, rows, 3))
 
 
+def test_postings_hold_no_chunks(spark, tmp_path):
+    """Tokens are the only key that is counted by; figures are those of the SQL."""
+    import duckdb
+    from sedgeway.plans import queries
+
+    rows = [(1, "a b a c", "s"), (2, "a b a c", "s"), (3, " ".join(f"w{i % 90}" for i in range(1500)), "s"), (4, "", "s"), (5, "... !", "s"), (6, None, "s"), (7, "C c A", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES["postings"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "chunk_id" in x]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    con.execute("create table benchmark(item_id bigint, text varchar)")
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(queries.ORACLES["postings"]).fetchall())
+
+
 def test_sparse_shuffles_texts_not_tokens(spark):
     """Rows of one key count as one text; a plan has one shuffle, by key."""
     df = spark.createDataFrame([(1, "cat the"), (1, "the"), (2, "dog"), (3, None)], "id long, text string")
